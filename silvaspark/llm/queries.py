@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvaspark.llm import language_id, sharding, substring_dedup, toxicity, warc
+from silvaspark.llm import jaccard_join, language_id, sharding, substring_dedup, toxicity, warc
 from silvaspark.runtime import table
 
 
@@ -36,19 +36,24 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_sharding": op4_sharding,
     "op7_toxicity": op7_toxicity,
     "op9_warc": op9_warc,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: SQL that DuckDB runs on the same tables.
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), g AS (
   SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
@@ -81,5 +86,28 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN c > 1 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN c > 1 AND page_id <> first_id THEN first_id END AS refers_to
 FROM d JOIN f USING (sha)
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) >= 1)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), both AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM both JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 5 * c >= 4 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y
+), class AS (
+  SELECT x, min(y) AS class_id FROM reach GROUP BY x
+), links AS (
+  SELECT x, count(*) AS n_links FROM link GROUP BY x
+)
+SELECT class.x AS doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM class LEFT JOIN links ON links.x = class.x
 """,
 }
