@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvaspark.llm import jaccard_join, language_id, sharding, substring_dedup, toxicity, warc
+from silvaspark.llm import decontamination, jaccard_join, language_id, sharding, substring_dedup, toxicity, warc
 from silvaspark.runtime import table
 
 
@@ -25,6 +25,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminate(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct("hits.item_id"))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), items.alias("item_ids"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crf = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_on=~language_id.held_out(F.col("id")))
@@ -44,6 +51,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_sharding": op4_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
@@ -95,10 +103,10 @@ WITH RECURSIVE d AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) >= 1)
 ), n AS (
   SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
-), both AS (
+), shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
 ), link AS (
-  SELECT x, y FROM both JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 5 * c >= 4 * (p.n + q.n - c)
+  SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 5 * c >= 4 * (p.n + q.n - c)
 ), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents
   UNION
@@ -109,5 +117,26 @@ WITH RECURSIVE d AS (
   SELECT x, count(*) AS n_links FROM link GROUP BY x
 )
 SELECT class.x AS doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM class LEFT JOIN links ON links.x = class.x
+""",
+    "op6_decontamination": r"""
+WITH dw AS (
+  SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+           lambda x: lower(regexp_replace(x, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g'))), lambda x: x <> '')) AS w FROM documents
+), bw AS (
+  SELECT item_id, unnest(list_filter(list_transform(string_split_regex(text, '[\x20\x09-\x0D]+'),
+           lambda x: lower(regexp_replace(x, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g'))), lambda x: x <> '')) AS w FROM benchmark
+), dp AS (
+  SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id) AS p FROM dw
+), bp AS (
+  SELECT item_id, w, row_number() OVER (PARTITION BY item_id) AS p, count(*) OVER (PARTITION BY item_id) AS n FROM bw
+), eq AS (
+  SELECT doc_id, item_id, dp.p - bp.p AS diag, bp.p AS p FROM dp JOIN bp USING (w) WHERE bp.n >= 13
+), run AS (
+  SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c FROM eq
+), hit AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids FROM run WHERE c >= 11 GROUP BY doc_id
+)
+SELECT d.doc_id, hit.item_ids IS NOT NULL AS contaminated, coalesce(hit.item_ids, []::BIGINT[]) AS item_ids
+FROM documents d LEFT JOIN hit USING (doc_id)
 """,
 }
