@@ -3,12 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from silvaspark.llm import decontamination, jaccard_join, language_id, line_dedup, sentencepiece_fst, toxicity
 from silvaspark.runtime import table, written
 
-STAGES: list = []
 
-#: No stage but the encoding could be said in SQL; the pipeline is tested against brute force.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go. The tagger learns from the labelled documents."""
+    crf = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_on=~language_id.held_out(F.col("id")))
+    return toxicity.drop_toxic(docs, crf)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from the texts; every document stays."""
+    return line_dedup.drop_repeated_lines(docs, n_chars="n_chars")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, with the proof that they decode to it."""
+    return sentencepiece_fst.encode_documents(docs.select("doc_id", "lang", "source", "text")).drop("text")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
+
+#: The first two stages cannot be said in SQL; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 

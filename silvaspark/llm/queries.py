@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvaspark.llm import decontamination, jaccard_join, language_id, sharding, substring_dedup, toxicity, warc
+from silvaspark.llm import decontamination, hamming_search, jaccard_join, language_id, line_dedup, sentencepiece_fst, sharding, substring_dedup, toxicity, warc
 from silvaspark.runtime import table
 
 
@@ -21,10 +21,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming_search.sign_codes(table(spark, sf_dir, "embeddings"))
+    found = hamming_search.top_k(codes, codes.where("id % 100 = 0"), k=10)
+    return found.select("query_id", F.col("id").alias("vec_id"), "distance", "rank")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_fst.encode_documents(docs, ids=False).select("doc_id", "n_ids", "ids_sha256", "round_trip")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -38,6 +49,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, crf, keep={"held_out": language_id.held_out(F.col("doc_id"))})
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.drop_repeated_lines(docs, removed="n_removed_lines")
+    return kept.select("doc_id", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,9 +67,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_hamming_top_k": op3_hamming_top_k,
     "op4_sharding": op4_sharding,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
 }
@@ -138,5 +158,16 @@ WITH dw AS (
 )
 SELECT d.doc_id, hit.item_ids IS NOT NULL AS contaminated, coalesce(hit.item_ids, []::BIGINT[]) AS item_ids
 FROM documents d LEFT JOIN hit USING (doc_id)
+""",
+    "op3_hamming_top_k": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding[1:64], lambda x: coalesce(x > 0, false)) AS b FROM embeddings WHERE embedding IS NOT NULL
+), d AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.b, e.b), lambda z: (z[1] <> z[2])::INT))::INT AS distance
+  FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d
+)
+SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10
 """,
 }
