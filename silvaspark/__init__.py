@@ -6,7 +6,6 @@ Layout
 ``functions``  column expressions and vectorised scalar kernels
 ``operators``  DataFrame operators: terrain, voxels, joins, clustering, matching, statistics
 ``plans``      composite plans (extract, compare, register) and the registered queries
-``streaming``  incremental ingestion of scans with the same operators
 """
 
 __version__ = "0.1.0"
