@@ -15,6 +15,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silvaspark.runtime import written
+
 COINCIDENT = 1e-9
 
 
@@ -193,11 +195,12 @@ def match(src_kp: DataFrame, tgt_kp: DataFrame, prm: Params = Params(), keys: li
     job = lambda df: df.withColumn("scan", F.struct(*keys).cast("string"))
     ids = job(src_kp.select(*keys).distinct()).select("scan", *[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)])
     a, b = job(src_kp).select("scan", "kp", "x", "y"), job(tgt_kp).select("scan", "kp", "x", "y")
-    da, db = descriptors(a, prm), descriptors(b, prm)
-    agree = agreeing(da, db, prm.threshold, ["scan"])
+    # used several times below: computed once
+    da, db = written(descriptors(a, prm), "descriptors"), written(descriptors(b, prm), "descriptors")
+    agree = written(agreeing(da, db, prm.threshold, ["scan"]), "agreeing")
     cand = scored(best_pairs(dc_scores(da, db, prm.threshold, ["scan"]), prm.min_dc, ["scan"]), agree, prm.w, ["scan"])
     w = Window.partitionBy("scan").orderBy(F.desc("score"), F.desc("dc"), "i")
-    cand = cand.withColumns({"rank": F.row_number().over(w), "best_score": F.max("score").over(Window.partitionBy("scan"))})
+    cand = written(cand, "candidates").withColumns({"rank": F.row_number().over(w), "best_score": F.max("score").over(Window.partitionBy("scan"))})
     plain = cand.where((F.col("score") > prm.th_score) & (F.col("best_score") >= prm.th_score)).select("scan", F.col("i").alias("s"), F.col("j").alias("t"), F.lit(False).alias("used_triangle"), "best_score")
     low = cand.where((F.col("rank") == 1) & (F.col("best_score") < prm.th_score)).select("scan", "i", "j", "best_score")
     named = agree.join(low, ["scan", "i", "j"])
