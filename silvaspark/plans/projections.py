@@ -60,7 +60,7 @@ def target(kps: DataFrame) -> DataFrame:
 #: Registration runs from orders: 10 seeds, 3 models, 15 pairs.
 RUNS = """
   SELECT o_orderkey % 10 + 1 AS seed, CASE o_orderkey % 3 WHEN 0 THEN 'step' WHEN 1 THEN 'linear_a' ELSE 'physical' END AS model, o_custkey % 15 AS pair,
-         bool_or(o_totalprice > 100000) AS success, CASE WHEN min(o_totalprice) > 20000 THEN NULL ELSE round(min(o_totalprice) / 1e5, 6) END AS e_p, count(*) AS n
+         bool_or(o_totalprice > 100000) AS success, CASE WHEN min(o_totalprice) > 20000 THEN NULL ELSE round(min(o_totalprice) / 1e5, 7) END AS e_p, count(*) AS n
   FROM orders GROUP BY ALL
 """
 
@@ -70,5 +70,5 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.when(F.col("o_orderkey") % 3 == 0, "step").when(F.col("o_orderkey") % 3 == 1, "linear_a").otherwise("physical")
     low = F.min("o_totalprice")
     return o.groupBy((F.col("o_orderkey") % 10 + 1).alias("seed"), m.alias("model"), (F.col("o_custkey") % 15).alias("pair")).agg(
-        F.bool_or(F.col("o_totalprice") > 100000).alias("success"), F.when(~(low > 20000), F.round(low / 1e5, 6)).alias("e_p"), F.count("*").alias("n")
+        F.bool_or(F.col("o_totalprice") > 100000).alias("success"), F.when(~(low > 20000), F.round(low / 1e5, 7)).alias("e_p"), F.count("*").alias("n")
     )
