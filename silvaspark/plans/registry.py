@@ -671,3 +671,44 @@ def oracle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kps = V.keypoints(spark, sf_dir)
     t = V.target(kps).select(F.col("tp").alias("kp"), F.col("tx").alias("rx"), F.col("ty").alias("ry"), F.col("tz").alias("rz"))
     return reports.oracle_positions(kps, t, ["kp"], vertical=False).select("scan", "kp", "x", "y", "z")
+
+
+def _scene(spark: SparkSession):
+    from silvaspark.sources import synthetic
+    from silvaspark.sources.config import Config
+
+    s = synthetic.Scene(ground_density=300.0, stem_density=6000.0, half_size=8.0)
+    return synthetic.make(spark, s), Config.load("", ["--voxel.leaf=0.02", "--dtm.support_count=1"])
+
+
+@query()
+def extract_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of the synthetic scene; the tables of ``sf_dir`` hold no scan."""
+    from silvaspark.plans import pipeline
+
+    cloud, cfg = _scene(spark)
+    return pipeline.extract(cloud, cfg)[0]
+
+
+@query()
+def cylinder_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of all clusters of the synthetic scene with their checks and axis hits."""
+    from silvaspark.plans import pipeline
+    from silvaspark.sources.tables import clusters_table
+
+    cloud, cfg = _scene(spark)
+    return clusters_table(pipeline.extract(cloud, cfg)[1])
+
+
+@query()
+def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two profiles, six models and two seeds on the synthetic scene against its true stems."""
+    from dataclasses import replace
+
+    from silvaspark.plans import pipeline
+    from silvaspark.sources import synthetic
+
+    cloud, cfg = _scene(spark)
+    cfg = replace(cfg, experiment=replace(cfg.experiment, n_seeds=2))
+    vert, planes, _ = pipeline.preprocess(P.localise(cloud), cfg)
+    return pipeline.experiment(vert, planes, synthetic.truth(spark), cfg)
