@@ -93,7 +93,7 @@ class Model:
 class Transducer:
     """The compiled transducers of a model; encodes and decodes."""
 
-    limit = 600_000
+    limit = 900_000
 
     def __init__(self, data: bytes):
         m = self.model = Model(data)
@@ -109,7 +109,10 @@ class Transducer:
         self.whole: dict[str, bool] = {}
         #: neighbours that some piece holds; between others no piece and no merge can reach
         self.inner = {p[k : k + 2] for p in self.piece for k in range(len(p) - 1)}
-        self.output = [self._bytes(i) for i in range(len(m.pieces))]
+        output = [self._bytes(i) for i in range(len(m.pieces))]
+        self.flat = np.frombuffer(b"".join(output), np.uint8)
+        self.size = np.array([len(x) for x in output], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
     # normaliser
     def normalise(self, text: str) -> str:
@@ -249,7 +252,9 @@ class Transducer:
         return p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.output.__getitem__, ids.tolist()))
+        size = self.size[ids]
+        end = np.cumsum(size)
+        raw = self.flat[np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)].tobytes()
         if self.model.add_prefix and raw.startswith(b" "):
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
