@@ -42,8 +42,12 @@ def dealt(df: DataFrame, group: str, size: str, member: str, most: int) -> DataF
 
 
 def collected(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of equal keys in one partition and next to each other."""
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+    """Rows of equal keys in one partition and next to each other.
+
+    The number of partitions is the session's: what is done with a group costs more than its bytes
+    say, so partitions are not merged by size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
 class Union:
