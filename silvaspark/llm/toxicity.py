@@ -14,6 +14,7 @@ marginals are those of the whole text.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -31,11 +32,17 @@ _edge = re.compile(r"^\W+|\W+$")
 
 
 def features(token: str) -> list[str]:
-    w = _edge.sub("", token.lower())
-    if not w:
-        return ["empty"]
-    out = [f"w={w}", f"s={w[-3:]}", "digit" if any(c.isdigit() for c in w) else "bias"]
-    return out + [f"p={w[:k]}" for k in (3, 4, 5, 6) if len(w) > k]
+    w = token.lower()
+    if not w.isalnum():
+        w = _edge.sub("", w)
+        if not w:
+            return ["empty"]
+    out = ["w=" + w, "s=" + w[-3:], "bias" if w.isalpha() or not any(c.isdigit() for c in w) else "digit"]
+    for k in (3, 4, 5, 6):
+        if len(w) <= k:
+            break
+        out.append("p=" + w[:k])
+    return out
 
 
 def evidence(token: str) -> list[str]:
@@ -53,13 +60,16 @@ class Crf:
     prior: float
 
     def emission(self, token: str) -> float:
-        return float(np.clip(sum(self.weights.get(f, 0.0) for f in features(token)), -30, 30))
+        x = 0.0
+        for f in features(token):
+            x += self.weights.get(f, 0.0)
+        return min(30.0, max(-30.0, x))
 
 
 class Emissions(dict):
     """exp(emission) by raw token; remembers a bounded number of tokens."""
 
-    limit = 300_000
+    limit = 600_000
 
     def __init__(self, crf: Crf):
         super().__init__()
@@ -68,7 +78,7 @@ class Emissions(dict):
     def __missing__(self, token: str) -> float:
         if len(self) >= self.limit:
             self.clear()
-        x = self[token] = float(np.exp(self.crf.emission(token)))
+        x = self[token] = math.exp(self.crf.emission(token))
         return x
 
 
@@ -158,7 +168,9 @@ def train(toxic: list[str], clean: list[str], share: float = 0.01, least: int =
         for t in texts:
             for f in {f for x in set(t.split()) for f in shown(x)}:
                 df[k][f] = df[k].get(f, 0) + 1
-    need = max(min(least, len(toxic) // 2 + 1), share * len(toxic))
+    # so many that no feature reaches it by chance: chance**n times the features is below 1 %
+    chance = len(toxic) / (len(toxic) + len(clean))
+    need = max(min(least, len(toxic) // 2 + 1), share * len(toxic), math.log(len(df[1]) / 0.01) / -math.log(chance))
     marks = {f for f, n in df[1].items() if n >= need and df[0].get(f, 0) / len(clean) <= 0.02 * n / len(toxic)}
     marked: dict[str, bool] = {}
 
