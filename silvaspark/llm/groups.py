@@ -71,9 +71,12 @@ class Union:
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph with edges a[k]-b[k]."""
+    """Stars that connect what the graph with edges a[k]-b[k] connects: each node with the smallest
+    node of its component. Stars need the fewest rounds to be joined with those of other tasks."""
     u = Union(n)
-    return [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if u.join(x, y)]
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        u.join(x, y)
+    return [(k, r) for k in range(n) if (r := u.root(k)) != k]
 
 
 def null_safe(a: str, b: str) -> Column:
