@@ -609,10 +609,10 @@ def _sets(spark: SparkSession) -> DataFrame:
 @query(f"""{RUNS}, {SETS}, j AS (SELECT * FROM runs JOIN sets USING (pair)), s AS (SELECT model, pair_set, seed, count(*) FILTER (success) AS won, count(*) FILTER (e_p IS NULL) AS none FROM j GROUP BY ALL),
 a AS (SELECT model, pair_set, avg(won) AS mean, stddev_samp(won) AS sd, min(won) AS low, max(won) AS high, avg(none) AS no_transform FROM s GROUP BY ALL),
 b AS (SELECT model, pair_set, avg(e_p) AS ep_mean, quantile_cont(e_p, 0.5) AS ep_median FROM j WHERE success GROUP BY ALL)
-SELECT model, pair_set, round(mean, 8) AS mean, round(sd, 8) AS sd, low, high, round(no_transform, 8) AS no_transform, round(ep_mean, 8) AS ep_mean, round(ep_median, 8) AS ep_median FROM a JOIN b USING (model, pair_set)""")
+SELECT model, pair_set, round(mean, 8) AS mean, round(sd, 8) AS sd, low, high, round(no_transform, 8) AS no_transform, round(ep_mean + 1e-10::DOUBLE, 8) AS ep_mean, round(ep_median + 1e-10::DOUBLE, 8) AS ep_median FROM a JOIN b USING (model, pair_set)""")
 def pair_set_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = reports.pair_sets(V.runs(spark, sf_dir), _sets(spark), ["model"])
-    return p.select("model", "pair_set", "low", "high", *[r6(c, 8).alias(c) for c in ("mean", "sd", "no_transform", "ep_mean", "ep_median")])
+    return p.select("model", "pair_set", "low", "high", *[r6(c, 8).alias(c) for c in ("mean", "sd", "no_transform")], *[r6(F.col(c) + 1e-10, 8).alias(c) for c in ("ep_mean", "ep_median")])
 
 
 WIN = f"""{RUNS}, w AS (SELECT r.model, count(*) FILTER (r.success AND NOT b.success) AS wins, count(*) FILTER (NOT r.success AND b.success) AS losses FROM runs r JOIN runs b USING (seed, pair) WHERE b.model = 'step' AND r.model <> 'step' GROUP BY r.model)"""
