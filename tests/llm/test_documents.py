@@ -128,6 +128,23 @@ def test_line_dedup(spark, docs, rows, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_typos_and_replaced_words(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    d = [(0, "the quarterly financial statement was approved"), (1, "the quartexly financial statement was approved")]
+    for k in range(1, 101):
+        w = [word(7) for _ in range(10)]
+        v = list(w)
+        if k % 2:  # one letter of one word
+            v[5] = v[5][:3] + ("x" if v[5][3] != "x" else "y") + v[5][4:]
+        else:  # one word
+            v[5] = word(7)
+        d += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] for k in range(101)) and got[1] == ""
+    assert sum(got[2 * k + 1] == "" for k in range(101)) >= 99
+
+
 def test_edit_similarity():
     def distance(a, b):
         p = list(range(len(b) + 1))
