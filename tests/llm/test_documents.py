@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silvaspark.llm import decontamination, hamming_search, jaccard_join, language_id, line_dedup, sharding, substring_dedup, suffix_automaton, toxicity, warc
+from silvaspark.llm import decontamination, groups, hamming_search, jaccard_join, language_id, line_dedup, sharding, substring_dedup, suffix_automaton, toxicity, warc
 from silvaspark.llm import sentencepiece_fst as spm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, node long, component long, score double, line string"
@@ -145,6 +145,22 @@ def test_line_dedup_finds_typos_and_replaced_words(spark):
     assert sum(got[2 * k + 1] == "" for k in range(101)) >= 99
 
 
+def test_large_buckets_join_lines_of_few_members():
+    # row 0 is like 80 others, row 1 like one of those alone
+    rng = np.random.default_rng(2)
+    draw = lambda: rng.integers(0, 1 << 63, line_dedup.WORDS).astype(np.uint64)
+    family, other = draw(), draw()
+    bridge = family.copy()
+    bridge[: line_dedup.WORDS // 2] = other[: line_dedup.WORDS // 2]
+    check = np.array([family, other, *[family] * 40, bridge, *[family] * 40])
+    assert line_dedup.misses(check[:1], check[1:2])[0] > line_dedup.CHECK_MISSES
+    a, b = line_dedup.joined(check)
+    u = groups.Union(len(check))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        u.join(x, y)
+    assert len(a) == len(check) - 1 and {u.root(x) for x in range(len(check))} == {0}
+
+
 def test_edit_similarity():
     def distance(a, b):
         p = list(range(len(b) + 1))
