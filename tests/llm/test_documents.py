@@ -145,6 +145,13 @@ def test_line_dedup_finds_typos_and_replaced_words(spark):
     assert sum(got[2 * k + 1] == "" for k in range(101)) >= 99
 
 
+def test_line_dedup_of_scripts_without_spaces(spark):
+    a, b = "本公司保留所有权利未经许可不得转载或者使用", "สงวนลิขสิทธิ์ตามกฎหมายห้ามทำซ้ำ"
+    d = [(1, a), (2, a.replace("许", "允")), (3, f"{b}\n{a}"), (4, b), (5, "保留"), (6, "保留")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert got == {1: a, 2: "", 3: b, 4: "", 5: "保留", 6: "保留"}
+
+
 def test_large_buckets_join_lines_of_few_members():
     # row 0 is like 80 others, row 1 like one of those alone
     rng = np.random.default_rng(2)
