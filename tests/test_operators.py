@@ -124,3 +124,12 @@ def test_axis_meets_terrain():
         assert p is not None and abs(p[2] - bx * p[0] - by * p[1]) <= 1e-3
     assert stems.axis_meets_terrain(np.zeros(3), np.array([1.0, 0, 0]), lambda x, y: 0.0) is None
     assert stems.axis_meets_terrain(np.zeros(3), np.array([0, 0, 1.0]), lambda x, y: None) is None
+
+
+def test_experiment_keeps_all_references(spark):
+    from silvaspark.plans import pipeline
+
+    fits = spark.createDataFrame([("step", 1), ("step", 1), ("physical", 2)], "label string, seed int")
+    refs = spark.range(1_000_100).selectExpr("id AS ref_id", "0.0D AS rx", "0.0D AS ry")
+    got = {(r.label, r.seed): r["count"] for r in pipeline.per_run(fits, refs).groupBy("label", "seed").count().collect()}
+    assert got == {("step", 1): 1_000_100, ("physical", 2): 1_000_100}
