@@ -115,15 +115,16 @@ def candidate_edges(members: DataFrame, threshold: float, recall: float, branch:
         keys = written(at.mapInArrow(lambda x, n=n: _descend(x, chance, n), "node long, member long"), "jaccard-paths")
         sizes = keys.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor("member").alias("x"), F.sum(F.col("member").cast("decimal(38,0)")).alias("s")).where("size > 1")
         # buckets of the same members say the same
-        sizes = written(sizes.groupBy("size", "x", "s").agg(F.min("node").alias("node")).select("node", "size"), "jaccard-buckets")
+        sizes = written(sizes.groupBy("size", "x", "s").agg(F.min("node").alias("node"), F.count("*").alias("same")).select("node", "size", "same"), "jaccard-buckets")
         last = depth == max_depth
-        small = sizes if last else sizes.where(F.col("size") <= SPLIT)
+        # of buckets that were merged, one descent would stand for all: they are compared at once
+        small = (sizes if last else sizes.where((F.col("size") <= SPLIT) | (F.col("same") > 1))).drop("same")
         met = keys.join(small, "node").join(members, "member").select("node", "size", "member", "sig")
         found = groups.collected(groups.dealt(met, "node", "size", "member", AT_ONCE), ["node", "i", "j"]).mapInArrow(lambda x: _compare(x, need), "u long, v long")
         edges = found if edges is None else edges.unionAll(found)
         if last:
             break
-        large = sizes.where(F.col("size") > SPLIT)
+        large = sizes.where((F.col("size") > SPLIT) & (F.col("same") == 1))
         if large.isEmpty():
             break
         at = keys.join(large.select("node"), "node", "left_semi").join(members, "member").select("node", "member", "sig")

@@ -92,6 +92,17 @@ def test_jaccard_join(docs, rows, empty):
     assert jaccard_join.similar_classes(empty).count() == 0
 
 
+def test_jaccard_join_splits_large_groups_without_loss(spark):
+    # 12 groups of 320 members, each more than one bucket compares, whose signatures are equal
+    rng = np.random.default_rng(4)
+    sigs = [rng.integers(0, 1 << 32, jaccard_join.SIGNATURE, dtype=np.uint32).tobytes() for _ in range(12)]
+    members = spark.createDataFrame([(k, bytearray(sigs[k % 12])) for k in range(12 * 320)], "member long, sig binary")
+    u = groups.Union(12 * 320)
+    for e in jaccard_join.candidate_edges(members, 0.8, 0.9995, 1.5, 3).collect():
+        u.join(e.u, e.v)
+    assert all(u.root(k) == k % 12 for k in range(12 * 320))
+
+
 def test_sharding(docs, rows, empty):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == len(rows)
