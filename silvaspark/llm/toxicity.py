@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -148,8 +148,15 @@ def _sketch(text: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(ws[i : i + 5])) for i in range(max(1, len(ws) - 4))), default=0)
 
 
+def tail(n: int, of: int, chance: float) -> float:
+    """Probability of ``n`` or more hits in ``of`` trials."""
+    log = lambda k: math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * math.log(chance) + (of - k) * math.log1p(-chance)
+    return sum(math.exp(log(k)) for k in range(n, of + 1))
+
+
 def train(toxic: list[str], clean: list[str], share: float = 0.01, least: int = 5, rounds: int = 50, seed: int = 7) -> Crf:
-    """Fit on whole labelled texts. With no text of a class, every score is the prior."""
+    """Fit on whole labelled texts. With no text of a class or no marks, every score is the prior and no
+    text is predicted toxic."""
     one = lambda texts: list({_sketch(t): t for t in sorted(texts, reverse=True)}.values())
     prior = len(toxic) / max(1, len(toxic) + len(clean))
     toxic, clean = one(toxic), one(clean)
@@ -168,10 +175,15 @@ def train(toxic: list[str], clean: list[str], share: float = 0.01, least: int =
         for t in texts:
             for f in {f for x in set(t.split()) for f in shown(x)}:
                 df[k][f] = df[k].get(f, 0) + 1
-    # so many that no feature reaches it by chance: chance**n times the features is below 1 %
+    # by chance, of the features of as many documents as this one fewer than 0.01 are as toxic as it
     chance = len(toxic) / (len(toxic) + len(clean))
-    need = max(min(least, len(toxic) // 2 + 1), share * len(toxic), math.log(len(df[1]) / 0.01) / -math.log(chance))
-    marks = {f for f, n in df[1].items() if n >= need and df[0].get(f, 0) / len(clean) <= 0.02 * n / len(toxic)}
+    need = max(min(least, len(toxic) // 2 + 1), share * len(toxic))
+    shown_in = np.sort([n + df[0].get(f, 0) for f, n in df[1].items()])
+
+    def beyond_chance(n: int, m: int) -> bool:
+        return tail(n, n + m, chance) * (len(shown_in) - np.searchsorted(shown_in, n + m)) < 0.01
+
+    marks = {f for f, n in df[1].items() if n >= need and (m := df[0].get(f, 0)) / len(clean) <= 0.02 * n / len(toxic) and beyond_chance(n, m)}
     marked: dict[str, bool] = {}
 
     def is_marked(x: str) -> bool:
@@ -316,7 +328,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, doc_
         own = rows.where(F.col("l") == k).orderBy(F.xxhash64("id"), "id").limit(n)
         pick = own if pick is None else pick.unionAll(own)
     got = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(pick), "id").select("l", "t").collect()
-    return train([r["t"] for r in got if r["l"] == 1], [r["t"] for r in got if r["l"] == 0])
+    crf = train([r["t"] for r in got if r["l"] == 1], [r["t"] for r in got if r["l"] == 0])
+    if crf.weights:
+        return crf
+    n = rows.agg(F.count_if(F.col("l") == 1).alias("toxic"), F.count("*").alias("all")).first()
+    return replace(crf, prior=n["toxic"] / max(1, n["all"]))
 
 
 def score(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: dict[str, Column] | None = None) -> DataFrame:
@@ -339,15 +355,20 @@ def score(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text",
                 x, y = score_texts(texts.slice(k, 2000).to_pylist(), sent.value, cache)
                 scores += x
                 spans += y
-            said = [int(s >= threshold) for s in scores]
+            said = [int(is_toxic(s, sent.value, threshold)) for s in scores]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(said, pa.int32()), pa.array(spans, span)], [*b.schema.names[:-1], "score", "predicted", "spans"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int, spans array<struct<start:long,end:long,marginal:double>>")
 
 
+def is_toxic(score: float, crf: Crf, threshold: float) -> bool:
+    """Without learned weights the score is the base rate of the labels, which says nothing of a text."""
+    return bool(crf.weights) and score >= threshold
+
+
 def drop_toxic(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows whose text scores below ``threshold``, with all their columns."""
+    """The rows whose text is not predicted toxic, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(crf)
     at = docs.columns.index(text)
 
@@ -356,7 +377,7 @@ def drop_toxic(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "t
         for b in batches:
             keep = []
             for k in range(0, b.num_rows, 2000):
-                keep += [s < threshold for s in score_texts(b.column(at).slice(k, 2000).to_pylist(), sent.value, cache)[0]]
+                keep += [not is_toxic(s, sent.value, threshold) for s in score_texts(b.column(at).slice(k, 2000).to_pylist(), sent.value, cache)[0]]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

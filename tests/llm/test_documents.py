@@ -329,6 +329,20 @@ def test_toxicity(spark, docs, rows, empty):
     assert toxicity.score(docs, none).count() == len(rows)
 
 
+def test_toxicity_of_balanced_and_of_useless_labels(spark):
+    rng = random.Random(9)
+    d = [(k, sentence(rng, 40) + (" grumblesnark" if k % 2 and k < 30 else " vileword" if k % 2 else ""), k % 2) for k in range(60)]
+    df = spark.createDataFrame(d, "doc_id long, text string, toxic int")
+    crf = toxicity.fit(df, df)
+    assert [r.predicted for r in toxicity.score(df, crf).orderBy("doc_id").collect()] == [y for _, _, y in d]
+    # labels that no word explains: nothing is learned and nothing dropped
+    e = [(k, sentence(rng, 40), int(k % 5 > 0)) for k in range(40)]
+    df = spark.createDataFrame(e, "doc_id long, text string, toxic int")
+    crf = toxicity.fit(df, df)
+    assert not crf.weights and crf.prior == 0.8
+    assert not any(r.predicted for r in toxicity.score(df, crf).collect()) and toxicity.drop_toxic(df, crf).count() == 40
+
+
 def test_warc(spark):
     long = "x" * 300_000
     d = [(3, "http://a/\n1", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (5, "u", ""), (7, "v", long), (7, "v", long), (8, "w", long), (None, "n", long)]
