@@ -173,6 +173,13 @@ def triangle_votes(src: DataFrame, tgt: DataFrame, thr: float, keys: list[str] |
     return votes.groupBy(*keys, "s", "t").agg(F.count("*").alias("votes"))
 
 
+def named_by_best(cand: DataFrame, agree: DataFrame) -> DataFrame:
+    """Rows of ``agree`` of each scan's best candidate: the keypoints ``na``, ``nb`` that its dimensions name."""
+    w = Window.partitionBy("scan").orderBy(F.desc("score"), F.desc("dc"), "i")
+    best = cand.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").select("scan", "i", "j")
+    return agree.join(best, ["scan", "i", "j"])
+
+
 def greedy_one_to_one(votes: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Pairs (s, t) by most votes, each side used once; ties to smaller ids."""
     used_s, used_t, out = set(), set(), []

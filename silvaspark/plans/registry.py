@@ -418,6 +418,18 @@ def triangle_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.triangle_votes(few(kps), few(t), 0.05, ["scan"])
 
 
+@query()
+def triangle_votes_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes over all keypoints that the dimensions of each scan's best pair name, as in ``match``."""
+    kps = V.keypoints(spark, sf_dir)
+    a, b = _described(spark, sf_dir)
+    agree = K.agreeing(a, b, 0.05, ["scan"])
+    named = K.named_by_best(K.scored(K.best_pairs(K.dc_scores(a, b, 0.05, ["scan"]), 3, ["scan"]), agree, 10.0, ["scan"]), agree)
+    t = V.target(kps).select(F.col("tp").alias("kp"), "scan", F.col("tx").alias("x"), F.col("ty").alias("y"))
+    s = K.triangle_sides(kps, named.select("scan", F.col("na").alias("kp")), ["scan"])
+    return K.triangle_votes(s, K.triangle_sides(t, named.select("scan", F.col("nb").alias("kp")), ["scan"]), 0.05, ["scan"])
+
+
 TGT = f"WITH kp AS ({V.KP}), tg AS ({V.TARGET})"
 
 
