@@ -81,3 +81,12 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def null_safe(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    lead = "__"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]

@@ -132,7 +132,8 @@ def test_line_dedup(spark, docs, rows, empty):
     d = [(1, f"{a}\nshort line\nunique words standing alone here today", 10), (2, f"keepers {a[:0]}first\n{a.upper()}!\nshort line", 10), (3, b, 10), (3, b, 10), (4, None, None), (5, "", 0)]
     got = line_dedup.drop_repeated_lines(spark.createDataFrame(d, "doc_id long, text string, n_chars long"), n_chars="n_chars", removed="gone").collect()
     out = {r.doc_id: (r.text, r.gone) for r in got}
-    assert out[1][1] == 0 and out[2] == ("keepers first\nshort line", 1) and out[3] == ("", 1) and out[4] == (None, 0) and out[5] == ("", 0)
+    # equal lines go at any length
+    assert out[1][1] == 0 and out[2] == ("keepers first", 2) and out[3] == ("", 1) and out[4] == (None, 0) and out[5] == ("", 0)
     assert [r.n_chars for r in got if r.doc_id == 3] == [0, 0]
     kept = line_dedup.drop_repeated_lines(docs)
     assert kept.count() == len(rows) and kept.columns == docs.columns
@@ -160,23 +161,81 @@ def test_line_dedup_of_scripts_without_spaces(spark):
     a, b = "本公司保留所有权利未经许可不得转载或者使用", "สงวนลิขสิทธิ์ตามกฎหมายห้ามทำซ้ำ"
     d = [(1, a), (2, a.replace("许", "允")), (3, f"{b}\n{a}"), (4, b), (5, "保留"), (6, "保留")]
     got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(spark.createDataFrame(d, "doc_id long, text string")).collect()}
-    assert got == {1: a, 2: "", 3: b, 4: "", 5: "保留", 6: "保留"}
-
-
-def test_large_buckets_join_lines_of_few_members():
-    # row 0 is like 80 others, row 1 like one of those alone
-    rng = np.random.default_rng(2)
-    draw = lambda: rng.integers(0, 1 << 63, line_dedup.WORDS).astype(np.uint64)
-    family, other = draw(), draw()
-    bridge = family.copy()
-    bridge[: line_dedup.WORDS // 2] = other[: line_dedup.WORDS // 2]
-    check = np.array([family, other, *[family] * 40, bridge, *[family] * 40])
-    assert line_dedup.misses(check[:1], check[1:2])[0] > line_dedup.CHECK_MISSES
-    a, b = line_dedup.joined(check)
-    u = groups.Union(len(check))
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        u.join(x, y)
-    assert len(a) == len(check) - 1 and {u.root(x) for x in range(len(check))} == {0}
+    assert got == {1: a, 2: "", 3: b, 4: "", 5: "保留", 6: ""}
+
+
+def test_line_groups_against_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+
+    def variants(n, words, most):
+        base = [word(rng.randrange(3, 9)) for _ in range(words)]
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.randrange(most + 1)):
+                w[rng.randrange(words)] = word(rng.randrange(3, 9))
+            lines.append(" ".join(w))
+        return base
+
+    for _ in range(40):
+        variants(4, 12, 2)
+    # a group that is larger than one bucket compares, and lines that are like a few of its members only
+    hot = variants(4 * line_dedup.NEAR, 15, 2)
+    for _ in range(6):
+        lines.append(" ".join([*hot[:12], *(word(5) for _ in range(3))]))
+    # lines that share a passage are not similar
+    for _ in range(2 * line_dedup.NEAR):
+        lines.append(" ".join([*(word(6) for _ in range(14)), *hot]))
+    lines = sorted(set(lines))
+    rng.shuffle(lines)
+    want = groups.Union(len(lines))
+    pairs = []
+    for i, a in enumerate(lines):
+        for j in range(i):
+            n = max(len(a), len(lines[j]))
+            if abs(len(a) - len(lines[j])) <= n * 0.2 and line_dedup.distance(a, lines[j], n) <= int(n * 0.2 + 1e-9):
+                want.join(i, j)
+                pairs.append((i, j))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    at = line_dedup.line_table(docs, "doc_id", "text")
+    got = {r.lid: r.group for r in line_dedup.line_groups(docs, at).collect()}
+    of = [got.get(h, h) for h in map(line_dedup.line_hash, lines)]
+    assert len(pairs) > 3000 and sum(of[i] == of[j] for i, j in pairs) >= 0.97 * len(pairs)
+    # nothing is grouped that similar pairs do not connect
+    head = {}
+    assert all(head.setdefault(of[i], want.root(i)) == want.root(i) for i in range(len(lines)))
+
+
+def test_mixed_buckets_lose_no_link():
+    # line 1 is like line 2 alone, which stands in another class
+    rng = random.Random(5)
+    w = [sentence(rng, 20) for _ in range(2)]
+    near = w[1].replace(w[1].split()[3], "other")
+    sketch = bytes(8 * line_dedup.WORDS)
+    rows = [(7, 0, 0, 0, 1, 1, sketch, w[0]), (7, 0, 0, 0, 2, 1, sketch, near), (7, 0, 0, 0, 3, 3, sketch, w[1])]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcdefgh"))
+    cut = batch.select(["a", "b", "c", "d", "e", "f", "g", "h"])
+    out = [(u, v) for b in line_dedup._mixed([cut], 0.8) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert out == [(2, 3)]
+
+
+def test_bounds_of_the_edit_distance():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = sentence(rng, rng.randrange(1, 40), 60)
+        w = a.split()
+        for _ in range(rng.randrange(10)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(3)] = ["x" * rng.randrange(8)] * rng.randrange(3)
+            w = w or ["y"]
+        b = " ".join(w)
+        d = line_dedup.distance(a, b, 10**6)
+        assert line_dedup._by_words(a, b)[0] >= d and line_dedup._anchored(a, b, 10**6) >= d
+        assert max(len(a), len(b)) - line_dedup.common_subsequence(a, b) <= d
+        assert line_dedup.distance(a, b, d) == d and (not d or line_dedup.distance(a, b, d - 1) >= d)
 
 
 def test_edit_similarity():
