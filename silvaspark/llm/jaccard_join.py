@@ -32,8 +32,10 @@ from silvaspark.runtime import written
 SIGNATURE = 96
 #: Similarity estimated from signatures below which a pair in a bucket is passed over, under the threshold.
 SLACK = 0.15
-#: Texts in a bucket above which it is split, and texts compared at once in a task.
-SPLIT, AT_ONCE = 300, 1024
+#: Texts in a bucket above which it is split, signatures compared at once in a task, and texts verified at once.
+SPLIT, MEET, AT_ONCE = 300, 8192, 1024
+#: Shingles that weigh as much as one text where components are cut into chunks, so that long texts fill no task.
+HEAVY = 2000
 
 
 def survival(branch: float, depth: int) -> float:
@@ -120,7 +122,7 @@ def candidate_edges(members: DataFrame, threshold: float, recall: float, branch:
         # of buckets that were merged, one descent would stand for all: they are compared at once
         small = (sizes if last else sizes.where((F.col("size") <= SPLIT) | (F.col("same") > 1))).drop("same")
         met = keys.join(small, "node").join(members, "member").select("node", "size", "member", "sig")
-        found = groups.collected(groups.dealt(met, "node", "size", "member", AT_ONCE), ["node", "i", "j"]).mapInArrow(lambda x: _compare(x, need), "u long, v long")
+        found = groups.collected(groups.dealt(met, "node", "size", "member", MEET), ["node", "i", "j"]).mapInArrow(lambda x: _compare(x, need), "u long, v long")
         edges = found if edges is None else edges.unionAll(found)
         if last:
             break
@@ -132,18 +134,24 @@ def candidate_edges(members: DataFrame, threshold: float, recall: float, branch:
 
 
 def _compare(batches, need: int):
+    """Edges that connect all pairs of a bucket whose signatures agree enough; rows that are connected already
+    are not compared again."""
     for (_, i, j), rows in groups.runs(batches, 3):
         members = [r[1] for r in rows]
         sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(-1, SIGNATURE)
         side = np.array([r[0] for r in rows])
-        u = groups.Union(len(rows))
+        part = np.arange(len(rows))
         out = []
         for k in range(len(rows) - 1):
-            same = (sig[k + 1 :] == sig[k]).sum(axis=1)
-            ok = same >= need
+            other = part[k + 1 :] != part[k]
             if i != j:
-                ok &= side[k + 1 :] != side[k]
-            out += [(members[k], members[k + 1 + x]) for x in np.flatnonzero(ok).tolist() if u.join(k, k + 1 + x)]
+                other &= side[k + 1 :] != side[k]
+            later = np.flatnonzero(other) + k + 1
+            near = later[(sig[later] == sig[k]).sum(axis=1) >= need]
+            if len(near):
+                joined, first = np.unique(part[near], return_index=True)
+                out += [(members[k], members[x]) for x in near[first].tolist()]
+                part[np.isin(part, joined)] = part[k]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
@@ -189,17 +197,18 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     rows = summarize(docs, doc_id, text, size)
     with_set = rows.where("set_id is not null")
     sets = written(
-        with_set.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.min("sig").alias("sig")),
+        with_set.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig")),
         "jaccard-sets",
     )
     edges = candidate_edges(sets.select(F.col("set_id").alias("member"), "sig"), threshold, recall, branch, max_depth)
     parts = written(connected_components(edges), "jaccard-parts")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    members = parts.join(sizes, "component").join(sets.drop("sig"), F.col("node") == F.col("set_id")).select(
+    told = parts.join(sets.drop("sig"), F.col("node") == F.col("set_id"))
+    sizes = told.groupBy("component").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / HEAVY)).alias("size"))
+    members = told.join(sizes, "component").select(
         "component", "size", F.col("set_id").alias("member"), "copies", F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th")
     )
     texts = docs.select(F.col(doc_id).cast("long").alias("__d"), F.xxhash64(F.col(text)).alias("__h"), F.col(text).cast("string").alias("text"))
-    with_text = texts.join(members.hint("shuffle_hash"), (F.col("__th") == F.col("__h")) & groups.null_safe("__id", "__d")).select("component", "size", "member", "copies", "text")
+    with_text = texts.join(members, (F.col("__th") == F.col("__h")) & groups.null_safe("__id", "__d")).select("component", "size", "member", "copies", "text")
     # rows that are repeated whole reach here more than once
     twice = rows.groupBy("doc_id", "th").count().where("count > 1")
     if not twice.isEmpty():
@@ -232,8 +241,9 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, that ``similar_classes`` keeps: one row of each class."""
-    said = similar_classes(docs, doc_id=doc_id, text=text, **how).where("keep").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("repeated").alias("__r")).distinct()
-    kept = docs.join(said.hint("shuffle_hash"), (F.xxhash64(F.col(text)) == F.col("__h")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__d")))
-    once = kept.where(~F.col("__r")).drop("__d", "__h", "__r")
-    several = kept.where("__r").dropDuplicates(["__d", "__h"]).drop("__d", "__h", "__r")
+    d, h, r = groups.free_names(docs, "d", "h", "r")
+    said = similar_classes(docs, doc_id=doc_id, text=text, **how).where("keep").select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("repeated").alias(r)).distinct()
+    kept = docs.join(said, (F.xxhash64(F.col(text)) == F.col(h)) & F.col(doc_id).cast("long").eqNullSafe(F.col(d)))
+    once = kept.where(~F.col(r)).drop(d, h, r)
+    several = kept.where(r).dropDuplicates([d, h]).drop(d, h, r)
     return once.unionAll(several)
