@@ -10,6 +10,10 @@ documents share thus costs one entry per map batch. Later documents of the batch
 the spot. Reducers see one hash range at a time and answer with (document, hash) pairs of
 repeated windows, which meet the texts by document. The numbers of hash ranges and of document
 parts follow the size of the input, so what a task holds at once does not.
+
+The range comes from a second hash of the window, of other hashes of its words. Windows count as equal if
+both agree, 64 bits and those of the range, whose number grows with the windows: among n windows about n * 3e-14
+pairs of different ones are taken for equal, one in 10**13 windows expected 0.3.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from silvaspark.llm import words as W
 FLUSH = 1_500_000
 #: Windows in one hash range and text bytes in one document part, about.
 RANGE_WINDOWS, PART_BYTES = 1 << 20, 6 << 20
+#: Text bytes for each task of a shuffle, about.
+TASK_BYTES = 24 << 20
 ROUTED = "range long, part int, kind int, payload binary"
 _ROUTED = pa.schema([("range", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -60,19 +66,25 @@ def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
         return (W.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def repeats(ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first ids, their hashes, later ids, their hashes): each hash once with its smallest id, and
-    every other id that has it once."""
+def repeats(ids: np.ndarray, h: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first ids, their hashes, later ids, their hashes, ranges of the first): each hash once with its smallest
+    id, and every other id that has it once."""
     order = np.lexsort((ids, h))
     ids, h = ids[order], h[order]
+    of = ids if of is None else of[order]
     if not len(h):
-        return ids, h, ids, h
+        return ids, h, ids, h, of
     new_h = np.ones(len(h), bool)
     new_h[1:] = h[1:] != h[:-1]
     new = new_h.copy()
     new[1:] |= ids[1:] != ids[:-1]
     later = new & ~new_h
-    return ids[new_h], h[new_h], ids[later], h[later]
+    return ids[new_h], h[new_h], ids[later], h[later], of[new_h]
+
+
+def range_of(w: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """Hash range of each window."""
+    return W.windows(W.mix(w + np.uint64(1)), size) >> np.uint64(64 - bits)
 
 
 def _pieces(keys: np.ndarray):
@@ -128,7 +140,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(30, max(6, math.ceil(math.log2(max(1, total / 6 / RANGE_WINDOWS)))))
     parts = max(48, total // PART_BYTES)
-    shift = np.uint64(64 - bits)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
 
     def gather(batches):
         held, n = [], 0
@@ -136,8 +148,10 @@ def remove_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text
         def flush():
             i = np.concatenate([x[0] for x in held])
             h = np.concatenate([x[1] for x in held])
-            first_i, first_h, later_i, later_h = repeats(i, h)
-            for k, s in _pieces(first_h >> shift):
+            first_i, first_h, later_i, later_h, of = repeats(i, h, np.concatenate([x[2] for x in held]))
+            order = np.argsort(of, kind="stable")
+            first_i, first_h, of = first_i[order], first_h[order], of[order]
+            for k, s in _pieces(of):
                 yield k, 0, 0, pack(first_i[s], first_h[s])
             # decided already; they only pass through the reducers, spread over them
             for p, b in _answers(later_i, later_h, parts):
@@ -147,9 +161,10 @@ def remove_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text
             for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if d is None:
                     continue
-                h = W.windows(W.hashes(W.split(x.as_py())), size)
+                w = W.hashes(W.split(x.as_py()))
+                h = W.windows(w, size)
                 if len(h):
-                    held.append((np.full(len(h), d, np.int64), h))
+                    held.append((np.full(len(h), d, np.int64), h, range_of(w, size, bits).astype(np.uint32)))
                     n += len(h)
                 if n >= FLUSH:
                     yield _rows(list(flush()))
@@ -162,7 +177,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text
 
         def answer():
             if ids_:
-                _, _, later_i, later_h = repeats(np.concatenate(ids_), np.concatenate(hs))
+                _, _, later_i, later_h, _ = repeats(np.concatenate(ids_), np.concatenate(hs))
                 for p, b in _answers(later_i, later_h, parts):
                     yield 0, p, 1, b
 
@@ -221,7 +236,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
     entries = rows.mapInArrow(gather, ROUTED)
-    found = entries.repartition("range").sortWithinPartitions("range").mapInArrow(judge, ROUTED)
+    found = entries.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(judge, ROUTED)
     texts = rows.mapInArrow(send, ROUTED)
-    met = found.unionAll(texts).repartition("part").sortWithinPartitions("part", "kind")
+    met = found.unionAll(texts).repartition(tasks, "part").sortWithinPartitions("part", "kind")
     return met.mapInArrow(apply, OUT)
