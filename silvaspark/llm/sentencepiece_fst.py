@@ -1,25 +1,27 @@
-"""SentencePiece encoding and decoding as a weighted transducer.
-
-Three transducers are compiled from a model file: the normaliser (space to U+2581, the prefix,
-removal of extra spaces if the model asks for it), the pieces (every piece is a path over its
-characters) and the byte fallback (a character that is no piece becomes the pieces of its UTF-8
-bytes). Composed with an input they give a lattice over its positions, whose tropical-semiring
-shortest path is the encoding.
-
-* Unigram models weigh a piece with minus its score.
-* BPE models are said by a constraint instead: a third factor accepts a piece b after a piece a
-  with weight 0 if merging the characters of ab by the model's scores ends in exactly (a, b),
-  and with infinite weight otherwise. The path on which all neighbours agree is the one that
-  merging the whole input gives, and its every prefix is the encoding of that prefix, so each
-  position of the lattice has one state of finite weight. The factor is compiled lazily.
-
-Where no piece holds U+2581 after another character, the lattice has a cut before every such
-place; the paths between cuts are remembered by their input, in a bounded number.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
+
+Four machines are compiled from a model file:
+
+* the *normaliser*, a deterministic transducer over characters (``NORMALISER``): a space becomes U+2581, the
+  prefix comes first, and extra spaces go if the model asks for it;
+* the *pieces*, a trie whose states are beginnings of pieces and whose final arcs emit a piece and return to the root;
+* the *byte fallback*, arcs that read one character that is no piece and emit the pieces of its UTF-8 bytes;
+* for BPE models the *order of merges*, an acceptor of piece sequences: it reads b after a with weight 0 if merging the
+  characters of ab by the model's scores ends in exactly (a, b), and with infinite weight otherwise. A sequence all of
+  whose neighbours agree is the one that merging the whole input gives. It is compiled lazily, arc by arc.
+
+Encoding composes the input with the normaliser, the result with the closure of pieces and fallback (``lattice``) and that
+with the order of merges, and takes the shortest path in the tropical semiring (``shortest``). Pieces of a unigram
+model weigh minus their score, those of a BPE model nothing. Decoding is the inverse of pieces and fallback.
+
+Where no piece holds U+2581 after another character, every path passes a cut before every such
+place; the shortest paths between cuts are remembered by their input, within a bound of bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 
@@ -90,23 +92,83 @@ class Model:
             raise ValueError(f"model type {self.kind} is not supported")
 
 
+#: The normaliser that drops extra spaces, by state: (next state on a space, output) and (next state on another
+#: character, output before it). States: 0 nothing read, 1 within a word, 2 spaces after a word.
+NORMALISER = {0: ((0, ""), (1, "")), 1: ((2, ""), (1, "")), 2: ((2, ""), (1, SPACE))}
+
+
+class Trie:
+    """The transducer of the pieces: states are their beginnings, 0 is the root."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.step: list[dict[str, int]] = [{}]
+        self.emit = [-1]
+        for p, i in pieces.items():
+            at = 0
+            for c in p:
+                if c not in self.step[at]:
+                    self.step[at][c] = len(self.step)
+                    self.step.append({})
+                    self.emit.append(-1)
+                at = self.step[at][c]
+            self.emit[at] = i
+
+
+def shortest(arcs: list[list[tuple[int, int, float]]], follows=None, once: bool = False) -> list[tuple[int, int, int]]:
+    """Arcs (from, to, label) of the path of least weight through a lattice whose state k has the arcs (to, label,
+    weight) ``arcs[k]``, all of them forward; the last state is final. ``follows(a, b)`` is the weight that another
+    acceptor gives to arc b after arc a (a is None at the start): its states are the last arcs, so composed
+    states are pairs of a place and the arc that led to it. ``once`` says that no place has more than one of finite
+    weight; then arcs into a place that has one need no look. Of equal paths the one with the longer last arc is taken.
+    """
+    n = len(arcs)
+    inf = float("inf")
+    # by place: states (weight, arc into it, state before), one if no acceptor tells arcs apart
+    reached: list[list[tuple[float, tuple[int, int, int] | None, tuple | None]]] = [[] for _ in range(n)]
+    reached[0].append((0.0, None, None))
+    for k in range(n):
+        for state in reached[k]:
+            for to, label, weight in arcs[k]:
+                if once and reached[to]:
+                    continue
+                arc = (k, to, label)
+                w = state[0] + weight + (follows(state[1], arc) if follows else 0.0)
+                if w == inf:
+                    continue
+                if follows:
+                    reached[to].append((w, arc, state))
+                elif not reached[to]:
+                    reached[to].append((w, arc, state))
+                elif w < reached[to][0][0]:
+                    reached[to][0] = (w, arc, state)
+    if not reached[-1]:
+        raise ValueError("no path of finite weight")
+    at = min(reached[-1], key=lambda x: x[0])
+    out = []
+    while at[1] is not None:
+        out.append(at[1])
+        at = at[2]
+    return out[::-1]
+
+
 class Transducer:
     """The compiled transducers of a model; encodes and decodes."""
 
-    limit = 900_000
+    #: Bytes of inputs and outputs that each table of remembered paths and arcs may hold, about.
+    limit = 160 << 20
 
     def __init__(self, data: bytes):
         m = self.model = Model(data)
         self.piece = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t in (NORMAL, USER)}
         self.scores = m.scores
-        self.longest = max(map(len, self.piece), default=1)
+        self.trie = Trie(self.piece)
         self.unknown = m.types.index(UNKNOWN) if UNKNOWN in m.types else 0
         self.byte = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == BYTE}
         self.penalty = 10.0 - min((s for s, t in zip(m.scores, m.types, strict=True) if t == NORMAL), default=0.0)
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece)
         self.memo: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
+        self.held = [0, 0]
         #: neighbours that some piece holds; between others no piece and no merge can reach
         self.inner = {p[k : k + 2] for p in self.piece for k in range(len(p) - 1)}
         output = [self._bytes(i) for i in range(len(m.pieces))]
@@ -114,106 +176,116 @@ class Transducer:
         self.size = np.array([len(x) for x in output], np.int64)
         self.start = np.cumsum(self.size) - self.size
 
-    # normaliser
     def normalise(self, text: str) -> str:
-        if self.model.remove_extra:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (SPACE if self.model.add_prefix else "") + text.replace(" ", SPACE)
+        """The output of the normaliser. Where it keeps all spaces it has one state, and is a replacement."""
+        if not self.model.remove_extra:
+            return (SPACE if self.model.add_prefix else "") + text.replace(" ", SPACE) if text else ""
+        state, out = 0, []
+        for part in re.split("( +)", text):
+            if part:
+                state, lead = NORMALISER[state][part[0] != " "]
+                if part[0] != " ":
+                    out += (lead, part)
+        return (SPACE if self.model.add_prefix else "") + "".join(out) if out else ""
 
-    # byte fallback
     def _fallback(self, ch: str) -> list[int]:
+        """Output of the byte fallback's arc for a character."""
         if self.model.byte_fallback:
             return [self.byte[b] for b in ch.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def _merged(self, s: str) -> list[str]:
+    def lattice(self, s: str) -> list[list[tuple[int, int, float]]]:
+        """The composition of ``s`` with the closure of pieces and fallback: arcs (to, piece or -1, weight) by place."""
+        n = len(s)
+        step, emit, scores, bpe = self.trie.step, self.trie.emit, self.scores, self.model.kind == BPE
+        out: list[list[tuple[int, int, float]]] = []
+        for start in range(n):
+            state, here, single = 0, [], False
+            for at in range(start, n):
+                state = step[state].get(s[at], -1)
+                if state < 0:
+                    break
+                if emit[state] >= 0:
+                    here.append((at + 1, emit[state], 0.0 if bpe else -scores[emit[state]]))
+                    single |= at == start
+            if not single:
+                here.append((start + 1, -1, 0.0 if bpe else self.penalty))
+            out.append(here)
+        out.append([])
+        return out
+
+    def merged(self, s: str) -> list[str]:
         """Characters of ``s`` merged by score, the leftmost of equal ones first."""
-        x = list(s)
-        while len(x) > 1:
-            best, at = None, -1
-            for k in range(len(x) - 1):
-                i = self.piece.get(x[k] + x[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if at < 0:
-                break
-            x[at : at + 2] = [x[at] + x[at + 1]]
-        return x
-
-    def agrees(self, a: str, b: str) -> bool:
-        """Weight 0 (True) or infinity (False) of ``b`` after ``a``."""
-        key = (a, b)
-        got = self.pairs.get(key)
+        x: list[str | None] = list(s)
+        n = len(x)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                i = self.piece.get(x[k] + x[after[k]])
+                if i is not None:
+                    heapq.heappush(heap, (-self.scores[i], k, x[k] + x[after[k]]))
+
+        for k in range(n - 1):
+            offer(k)
+        while heap:
+            _, k, both = heapq.heappop(heap)
+            if x[k] is None or after[k] >= n or x[k] + x[after[k]] != both:
+                continue
+            gone = after[k]
+            x[k], x[gone] = both, None
+            after[k] = after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [p for p in x if p is not None]
+
+    def order(self, a: str, b: str) -> float:
+        """Weight of segment ``b`` after ``a`` (empty at the start) in the acceptor of merge orders."""
+        got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) >= self.limit:
+            self.held[0] += 2 * len(a + b) + 300
+            if self.held[0] > self.limit:
                 self.pairs.clear()
-            got = self.pairs[key] = self._merged(a + b) == [a, b]
+                self.held[0] = 0
+            got = self.pairs[a, b] = 0.0 if self.merged(a + b) == ([a, b] if a else [b]) else float("inf")
         return got
 
-    def _path(self, s: str) -> list[str]:
-        """Shortest path through the lattice of ``s``: its segments, each a piece or one character."""
-        n = len(s)
+    def path(self, s: str) -> list[tuple[int, int, int]]:
+        """Arcs (from, to, piece or -1) of the shortest path of normalised text."""
         if self.model.kind == UNIGRAM:
-            cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-            for end in range(1, n + 1):
-                for start in range(max(0, end - self.longest), end):
-                    i = self.piece.get(s[start:end])
-                    w = -self.scores[i] if i is not None else self.penalty if start == end - 1 else None
-                    if w is not None and cost[start] + w < cost[end]:
-                        cost[end], back[end] = cost[start] + w, start
-        else:
-            back = [-1] * (n + 1)
-            back[0] = 0
-            last = [""] * (n + 1)
-            piece, pairs = self.piece, self.pairs
-            for end in range(1, n + 1):
-                for start in range(max(0, end - self.longest), end):
-                    seg = s[start:end]
-                    if back[start] < 0 or (seg not in piece and start < end - 1):
-                        continue
-                    if start:
-                        ok = pairs.get((last[start], seg))
-                        if ok is None:
-                            ok = self.agrees(last[start], seg)
-                    else:
-                        ok = self.whole.get(seg)
-                        if ok is None:
-                            ok = self.whole[seg] = self._merged(seg) == [seg]
-                    if ok:
-                        back[end], last[end] = start, seg
-                        break
-            if back[n] < 0:
-                return self._merged(s)
-        out, at = [], n
-        while at:
-            out.append(s[back[at] : at])
-            at = back[at]
-        return out[::-1]
+            return shortest(self.lattice(s))
+        return shortest(self.lattice(s), lambda a, b: self.order(s[a[0] : a[1]] if a else "", s[b[0] : b[1]]), once=True)
+
+    def _remember(self, s: str, got: bytes) -> None:
+        self.held[1] += len(got) + 2 * len(s) + 150
+        if self.held[1] > self.limit:
+            self.memo.clear()
+            self.held[1] = 0
+        self.memo[s] = got
 
     def chunk(self, s: str) -> bytes:
         """Ids (int32, little endian) of a stretch between cuts."""
         got = self.memo.get(s)
         if got is None:
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
             cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.inner]
             if cuts:
                 got = b"".join(self._ids(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True))
+                self._remember(s, got)
             else:
                 got = self._ids(s)
-            self.memo[s] = got
         return got
 
     def _ids(self, s: str) -> bytes:
         got = self.memo.get(s)
         if got is None:
             ids = []
-            for seg in self._path(s):
-                i = self.piece.get(seg)
-                ids += [i] if i is not None else self._fallback(seg)
-            got = self.memo[s] = struct.pack(f"<{len(ids)}i", *ids)
+            for a, b, i in self.path(s):
+                ids += [i] if i >= 0 else self._fallback(s[a:b])
+            got = struct.pack(f"<{len(ids)}i", *ids)
+            self._remember(s, got)
         return got
 
     def encode(self, text: str) -> bytes:
@@ -284,8 +356,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", de
     """Add ``n_ids``, ``ids_sha256``, ``round_trip`` (and ``ids``) to every row.
 
     ``ids_sha256`` covers the ids as little-endian int32; ``round_trip`` says whether decoding
-    gives the text back. Null texts have null in all of them; empty texts have no ids. Columns
-    of these names in the input are replaced; all others stay.
+    gives the text back. Null texts have null in all of them; empty texts have no ids; repeated rows each
+    give a row. Columns of these names in the input are replaced; all others stay.
     """
     spark = docs.sparkSession
     sent = load(spark, model)
