@@ -2,15 +2,21 @@
 
 A seed is a mask over a run of words; the hash of a seed at a place covers the words under the
 mask and ignores those between. Training text and benchmark items that share a seed hash are
-compared word by word on the diagonal of the hit; a document is contaminated by an item if some
+compared word by word around the hit; a document is contaminated by an item if some
 ``WINDOW`` aligned words differ in at most ``MISSES`` places. For any such window some mask at
 some shift avoids the places that differ (tested over all patterns), so the hashing loses none.
+Items of fewer than ``WINDOW`` words are found where they occur whole; those of fewer than
+``len(SHORT_MASK)`` words are not looked for, since such phrases say nothing of where a text is from.
+
+The hashes of test and training text meet in a join. Of the training side only hashes come to it that pass a Bloom
+filter of the test side's, whose size is bounded; each brings the words around it, so texts are
+read once and are not shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silvaspark.llm import groups
 from silvaspark.llm import words as W
+from silvaspark.runtime import written
 
 WINDOW, MISSES = 13, 2
 #: Two spaced seeds for windows with substitutions, and one without gaps for short items.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SHORT_MASK = (0, 1, 2, 3, 4)
-#: Benchmark words that are sent to every task at once; further items take further passes.
-PASS_WORDS = 400_000
-_BITS = 22
+#: Words before the start of a seed that a window around it can have, and words that go with each hit.
+BEFORE = WINDOW - 1 - MASKS[0][-1]
+AROUND = BEFORE + WINDOW
+#: Bits of the filter: for each seed of the benchmark, and at least and at most.
+SEED_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
+#: Rows of hits up to which they are sent to all tasks; more meet the documents in a shuffle.
+SENT_HITS = 500_000
 _edge = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -63,135 +75,167 @@ def seeds(w: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return W.mix(out)
 
 
-@dataclass(frozen=True)
-class Items:
-    ids: list[int]
-    words: list[np.ndarray]
-    #: per mask: sorted seed hashes, their item and place
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    maps: list[np.ndarray]
-
-
-def compile_items(items: list[tuple[int, str]]) -> Items:
-    """Seed tables of items; those of at least ``WINDOW`` words go under ``MASKS``, others of at
-    least five words under ``SHORT_MASK``; still shorter ones are not looked for."""
-    ids, ws = [], []
-    for i, t in items:
-        h, _ = normal_words(t)
-        if len(h) >= len(SHORT_MASK):
-            ids.append(i)
-            ws.append(h)
-    tables, maps = [], []
-    for m, mask in enumerate((*MASKS, SHORT_MASK)):
-        h, it, at = [], [], []
-        for k, w in enumerate(ws):
-            if (len(w) < WINDOW) == (mask is SHORT_MASK):
-                s = seeds(w, mask, m)
-                h.append(s)
-                it.append(np.full(len(s), k))
-                at.append(np.arange(len(s)))
-        h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        tables.append((h[order], (np.concatenate(it) if it else np.zeros(0, np.int64))[order], (np.concatenate(at) if at else np.zeros(0, np.int64))[order]))
-        bits = np.zeros(1 << _BITS, bool)
-        bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        maps.append(bits)
-    return Items(ids, ws, tables, maps)
-
-
-def overlaps(doc: np.ndarray, hits: set[tuple[int, int]], items: Items) -> list[tuple[int, int, int]]:
-    """(item, start, end) of the verified stretches; hits are (item, diagonal) pairs."""
-    found = []
-    for k, d in sorted(hits):
-        w = items.words[k]
-        a = max(0, -d)
-        b = min(len(w), len(doc) - d)
-        need, may = (WINDOW, MISSES) if len(w) >= WINDOW else (len(w), 0)
-        if b - a < need:
-            continue
-        same = (w[a:b] == doc[a + d : b + d]).astype(np.int64)
-        s = np.concatenate(([0], np.cumsum(same)))
-        good = np.flatnonzero(s[need:] - s[:-need] >= need - may)
-        if len(good):
-            found.append((items.ids[k], int(a + d + good[0]), int(a + d + good[-1] + need)))
-    return found
-
-
-def search(texts: list[str | None], items: Items) -> list[list[tuple[int, int, int]]]:
-    """Verified overlaps (item, first word, word after the last) of every text."""
-    docs = [normal_words(t) for t in texts]
-    size = np.array([len(h) for h, _ in docs])
-    flat = np.concatenate([h for h, _ in docs]) if docs else np.zeros(0, np.uint64)
-    first = np.cumsum(size) - size
-    hits: dict[int, set[tuple[int, int]]] = {}
-    for m, mask in enumerate((*MASKS, SHORT_MASK)):
-        keys, it, at = items.tables[m]
-        if not len(keys):
-            continue
-        s = seeds(flat, mask, m)
-        maybe = np.flatnonzero(items.maps[m][(s >> np.uint64(64 - _BITS)).astype(np.int64)])
-        lo = np.searchsorted(keys, s[maybe], "left")
-        hi = np.searchsorted(keys, s[maybe], "right")
-        for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            d = int(np.searchsorted(first, p, "right")) - 1
-            q = p - int(first[d])
-            # texts without words share their first place with the next text
-            if q + mask[-1] < size[d]:
-                hits.setdefault(d, set()).update((int(it[x]), q - int(at[x])) for x in range(a, b))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for d, found in hits.items():
-        h, place = docs[d]
-        out[d] = [(i, int(place[a]), int(place[b - 1]) + 1) for i, a, b in overlaps(h, found, items)]
-    return out
+def around(w: np.ndarray, at: np.ndarray, other: int) -> np.ndarray:
+    """(hit, word) the words around seeds that start at ``at``; ``other`` where there is none."""
+    wide = np.concatenate((np.full(BEFORE, other), w, np.full(AROUND, other))).astype(w.dtype)
+    return wide[at[:, None] + np.arange(AROUND)]
+
+
+SEEDS = "mask int, hash long, item_id long, item long, place int, size int, words binary"
+
+
+def item_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """A row for each seed of each item, with the words around it. Items with a null id or text are left out. Written."""
+    items = written(
+        benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null").withColumn("row", F.monotonically_increasing_id()), "benchmark-items"
+    )
+
+    def cut(batches):
+        for b in batches:
+            for i, t, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w, _ = normal_words(t)
+                for m, mask in enumerate((*MASKS, SHORT_MASK)):
+                    if len(w) < len(SHORT_MASK) or (len(w) < WINDOW) != (mask is SHORT_MASK):
+                        continue
+                    s = seeds(w, mask, m)
+                    if mask is SHORT_MASK:
+                        s = s[:1]
+                    n = len(s)
+                    near = around(w, np.arange(n), 2)
+                    cols = [np.full(n, m, np.int32), s.view(np.int64), np.full(n, i), np.full(n, row), np.arange(n, dtype=np.int32), np.full(n, len(w), np.int32), [x.tobytes() for x in near]]
+                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SEEDS.split(", ")])
+
+    return written(items.mapInArrow(cut, SEEDS), "benchmark-seeds")
+
 
+def _bits(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places of a hash in a filter of ``bits`` bits."""
+    return [(h >> np.uint64(k)) & np.uint64(bits - 1) for k in (0, 36)]
 
-def passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[list[tuple[int, str]]]:
-    """Benchmark items in blocks of at most about ``PASS_WORDS`` words each, one block at a time
-    in the driver. Null items are left out."""
-    out: list[list[tuple[int, str]]] = [[]]
-    n = 0
-    for r in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        k = len(r["t"].split())
-        if n and n + k > PASS_WORDS:
-            out.append([])
-            n = 0
-        out[-1].append((r["i"], r["t"]))
-        n += k
+
+def filter_of(found: DataFrame) -> np.ndarray:
+    """Bloom filter of the seeds' hashes as bytes. Tasks make filters of their own rows; the driver holds two at a time."""
+    n = found.count()
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, SEED_BITS * n):
+        bits *= 2
+
+    def fill(batches):
+        mine = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for at in _bits(np.array(b.column(0), np.int64).view(np.uint64), bits):
+                np.bitwise_or.at(mine, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(mine.tobytes(), 1)], pa.binary())], names=["part"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found.select("hash").coalesce(8).mapInArrow(fill, "part binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r["part"]), np.uint8)
     return out
 
 
+HITS = "mask int, hash long, doc_id long, th long, at int, near binary, places binary"
+
+
+def _passing(batches, bloom: np.ndarray, masks: list[int]):
+    """Seeds of texts that pass the filter, with the words around them and their places among all words."""
+    bits = 8 * len(bloom)
+    all_masks = (*MASKS, SHORT_MASK)
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    for b in batches:
+        for k in range(0, b.num_rows, 1000):
+            part = b.slice(k, 1000)
+            docs = [normal_words(t.as_py()) for t in part.column(2)]
+            size = np.array([len(h) for h, _ in docs])
+            flat = np.concatenate([h for h, _ in docs])
+            first = np.cumsum(size) - size
+            rows = []
+            for m in masks:
+                s = seeds(flat, all_masks[m], m)
+                maybe = np.arange(len(s))
+                for at in _bits(s, bits):
+                    at = at[maybe]
+                    maybe = maybe[(bloom[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)]
+                of = np.searchsorted(first, maybe, "right") - 1
+                inside = maybe - first[of] + all_masks[m][-1] < size[of]
+                for d in np.unique(of[inside]).tolist():
+                    at = maybe[inside & (of == d)] - first[d]
+                    w, place = docs[d]
+                    i, h = part.column(0)[d].as_py(), part.column(1)[d].as_py()
+                    near = around(w, at, 0)
+                    where = around(place.astype(np.int32), at, -1)
+                    rows += [(m, x, i, h, q, n.tobytes(), p.tobytes()) for x, q, n, p in zip(s[maybe[inside & (of == d)]].view(np.int64).tolist(), at.tolist(), near, where, strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
+
+
+def _verified(batches):
+    """(doc_id, th, item_id, item, diagonal, start, end) of the hits around which words agree, from the first to the
+    last word that does. Words that a text or item does not have count as different."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    for b in batches:
+        if not b.num_rows:
+            continue
+        doc_id, th, at, near, places, item_id, item, place, size, words = (b.column(c) for c in ("doc_id", "th", "at", "near", "places", "item_id", "item", "place", "size", "words"))
+        same = np.frombuffer(b"".join(near.to_pylist()), np.uint64).reshape(-1, AROUND) == np.frombuffer(b"".join(words.to_pylist()), np.uint64).reshape(-1, AROUND)
+        where = np.frombuffer(b"".join(places.to_pylist()), np.int32).reshape(-1, AROUND)
+        n = np.array(size)
+        run = np.cumsum(np.concatenate((np.zeros((len(same), 1), np.int64), same), axis=1), axis=1)
+        good = run[:, WINDOW:] - run[:, :-WINDOW] >= WINDOW - MISSES
+        good[n < WINDOW] = False
+        start, end = good.argmax(axis=1), good.shape[1] - 1 - good[:, ::-1].argmax(axis=1) + WINDOW
+        short = np.flatnonzero(n < WINDOW)
+        start[short], end[short] = BEFORE, BEFORE + n[short]
+        ok = good.any(axis=1)
+        ok[short] = run[short, BEFORE + n[short]] - run[short, BEFORE] == n[short]
+        k = np.flatnonzero(ok)
+        if len(k):
+            diagonal = np.array(at)[k] - np.array(place)[k]
+            cols = [doc_id.take(pa.array(k)), th.take(pa.array(k)), item_id.take(pa.array(k)), item.take(pa.array(k)), pa.array(diagonal, pa.int32())]
+            at_ = np.arange(AROUND)
+            agree = same[k] & (at_ >= start[k, None]) & (at_ < end[k, None])
+            first, last = where[k, agree.argmax(axis=1)], where[k, AROUND - 1 - agree[:, ::-1].argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(first, pa.int64()), pa.array(last + 1, pa.int64())], names=["doc_id", "th", "item_id", "item", "diagonal", "start", "end"])
+
+
 _HIT = "array<struct<item_id:long,start:long,end:long>>"
 
 
-def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", column: str = "hits") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th, hits) of the rows that overlap with items: id, hash of the text, overlaps. Written."""
+    found = item_seeds(benchmark)
+    masks = sorted(r["mask"] for r in found.select("mask").distinct().collect())
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(found))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
+    passing = rows.mapInArrow(lambda x: _passing(x, sent.value, masks), HITS)
+    met = passing.join(found, ["mask", "hash"])
+    real = met.mapInArrow(_verified, "doc_id long, th long, item_id long, item long, diagonal int, start long, end long")
+    each = real.groupBy("doc_id", "th", "item_id", "item", "diagonal").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    hits = F.sort_array(F.collect_list(F.struct("item_id", "start", "end"))).cast(_HIT)
+    return written(each.groupBy("doc_id", "th").agg(hits.alias("hits")), "benchmark-hits")
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, how: str, column: str | None = None) -> DataFrame:
+    d, h, key = groups.free_names(docs, "d", "h", "key")
+    found = overlaps(docs, benchmark, doc_id, text)
+    found = found.select(F.col("doc_id").alias(d), F.col("th").alias(h), *([F.col("hits").alias(column)] if column else []))
+    if found.count() <= SENT_HITS:
+        found = F.broadcast(found)
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text)))
+    return keyed.join(found, (F.col(key) == F.col(h)) & F.col(doc_id).cast("long").eqNullSafe(F.col(d)), how).drop(d, h, key)
+
+
+def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", column: str = "hits", doc_id: str = "doc_id") -> DataFrame:
     """Add the array of overlaps with benchmark items to every row (empty if there are none).
 
     ``start`` and ``end`` count words of the text. Null and empty texts have none; repeated rows
-    and items each count; an empty benchmark finds nothing. All columns of ``docs`` stay.
+    and items each count; an empty benchmark finds nothing. All columns of ``docs`` stay, but for one named
+    ``column``, which is replaced.
     """
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-    out = docs.withColumn(column, F.array().cast(_HIT))
-    spark = docs.sparkSession
-    at = docs.columns.index(text)
-    for block in passes(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-        compiled: list[Items] = []
-
-        def run(batches, sent=sent, compiled=compiled):
-            if not compiled:
-                compiled.append(compile_items(sent.value))
-            for b in batches:
-                old = b.column(b.num_columns - 1).to_pylist()
-                new = []
-                for k in range(0, b.num_rows, 1000):
-                    found = search(b.column(at).slice(k, 1000).to_pylist(), compiled[0])
-                    new += [o + [{"item_id": i, "start": s, "end": e} for i, s, e in f] for o, f in zip(old[k : k + 1000], found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, kind)], b.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    out = _with_hits(docs.drop(column), benchmark, doc_id, text, "left", column)
+    return out.withColumn(column, F.coalesce(F.col(column), F.array().cast(_HIT)))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows, all columns, that overlap with no benchmark item."""
-    return contaminate(docs, benchmark, text, "__hits").where(F.size("__hits") == 0).drop("__hits")
+    return _with_hits(docs, benchmark, doc_id, text, "left_anti")

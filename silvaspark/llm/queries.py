@@ -150,11 +150,11 @@ WITH dw AS (
 ), bp AS (
   SELECT item_id, w, row_number() OVER (PARTITION BY item_id) AS p, count(*) OVER (PARTITION BY item_id) AS n FROM bw
 ), eq AS (
-  SELECT doc_id, item_id, dp.p - bp.p AS diag, bp.p AS p FROM dp JOIN bp USING (w) WHERE bp.n >= 13
+  SELECT doc_id, item_id, dp.p - bp.p AS diag, bp.p AS p, bp.n AS n FROM dp JOIN bp USING (w) WHERE bp.n >= 5
 ), run AS (
-  SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c FROM eq
+  SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c FROM eq
 ), hit AS (
-  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids FROM run WHERE c >= 11 GROUP BY doc_id
+  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids FROM run WHERE c >= least(n, 11 + 2 * (n < 13)::INT) GROUP BY doc_id
 )
 SELECT d.doc_id, hit.item_ids IS NOT NULL AS contaminated, coalesce(hit.item_ids, []::BIGINT[]) AS item_ids
 FROM documents d LEFT JOIN hit USING (doc_id)
