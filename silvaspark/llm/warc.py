@@ -54,13 +54,15 @@ def _open(path: str, mode: str):
     return at.open_input_stream(name, compression=None)
 
 
-def record_id(page_id: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: object, digest: str) -> str:
+    """Id of the response of a page with a payload of this digest. Pages with one id and different payloads have
+    records of their own; only rows that are repeated whole share one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def _value(x: object) -> bytes:
-    """A header value: line breaks would end it, so they are percent-encoded."""
-    return str(x).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").encode()
+    """A header value as it is; only line breaks, which would end it, are percent-encoded, and stay so when read."""
+    return str(x).replace("\r", "%0D").replace("\n", "%0A").encode("utf-8", "surrogatepass")
 
 
 def write_record(out: BinaryIO, headers: list[tuple[str, object]], block: bytes, level: int = 6) -> int:
@@ -113,7 +115,7 @@ def _parse_head(head: bytes, start: int) -> dict[str, str]:
         k, sep, v = line.partition(b":")
         if not sep:
             raise WarcError(f"member at {start}: header {line[:40]!r}")
-        out[k.strip().lower().decode("ascii", "replace")] = v.strip().decode("utf-8", "replace").replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+        out[k.strip().lower().decode("ascii", "replace")] = v.strip().decode("utf-8", "replace")
     return out
 
 
@@ -166,16 +168,17 @@ def _record(page_id, url, payload: bytes, refers_to) -> tuple[list[tuple[str, ob
     head = _http_head(len(payload))
     revisit = refers_to is not None
     block = head if revisit else head + payload
+    digest = payload_digest(payload)
     h: list[tuple[str, object]] = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Date", DATE)]
-    h.append(("WARC-Record-ID", record_id(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"))
+    h.append(("WARC-Record-ID", record_id(page_id, digest) if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"))
     h.append(("WARC-Target-URI", url if url is not None else f"page:{page_id}"))
     h.append(("Content-Type", "application/http; msgtype=response"))
-    h.append(("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"))
+    h.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     h.append(("WARC-Block-Digest", f"sha1:{payload_digest(block)}"))
     if page_id is not None:
         h.append(("X-Page-ID", page_id))
     if revisit:
-        h += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-ID", refers_to)]
+        h += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", refers_to)]
     return h, block
 
 
@@ -183,7 +186,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     """Write a record per row below ``folder``; returns the manifest ``(path, records, bytes)``.
 
     Equal payloads are kept once (``plan_revisits``); of several rows with the id that others
-    refer to, all are responses. Null payloads are empty. A null url becomes ``page:<id>``.
+    refer to, all are responses. Null payloads are empty. A null url becomes ``page:<id>``. Further columns,
+    also ones named like those of the result, are ignored.
     An archive is closed once it has ``roll_bytes``.
     """
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
@@ -194,7 +198,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     )
     plan = plan_revisits(pages, page_id, payload, least_bytes).select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), "refers_to")
     decided = rows.withColumn("__own", F.sha2("payload", 256)).join(
-        plan.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left"
+        plan, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left"
     ).select("page_id", "url", "payload", "refers_to")
 
     def write(batches):
