@@ -116,16 +116,50 @@ def test_sharding(docs, rows, empty):
 
 def test_sharding_moves_rows_only_into_the_new_shard(spark):
     ids = spark.range(4000).withColumnRenamed("id", "k")
-    for n in (1, 19, 41):
+    for n in (40, 41, 57):
         moved = sharding.assign(ids, "k", sharding.tree(n), sharding.tree(n + 1)).where(F.col("shard") != F.col("grown_shard"))
         assert {r.grown_shard for r in moved.select("grown_shard").distinct().collect()} == {n}
     heavy = sharding.assign(ids, "k", sharding.tree(10), sharding.tree(10, weights={3: 4.0}))
-    moved = heavy.where(F.col("shard") != F.col("grown_shard"))
-    assert {r.grown_shard for r in moved.select("grown_shard").distinct().collect()} == {3}
     share = heavy.where("grown_shard = 3").count() / 4000
     assert abs(share - 4 / 13) < 0.04
 
 
+def test_the_tree_decides_and_confines_movement(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "k")
+    # the same shards below one rack are dealt out otherwise
+    flat = [sharding.Leaf(0, 0, x.shard, x.weight) for x in sharding.tree(40)]
+    both = sharding.assign(ids, "k", sharding.tree(40), flat)
+    assert both.where("shard <> grown_shard").count() > 15_000
+    for got in ("shard", "grown_shard"):
+        n = [r["count"] for r in both.groupBy(got).count().collect()]
+        assert len(n) == 40 and min(n) > 380 and max(n) < 630
+    # shard 3 (region 0, rack 0) grows: rows come into its region, rack and itself; nothing moves elsewhere
+    moved = sharding.assign(ids, "k", sharding.tree(40), sharding.tree(40, weights={3: 6.0})).where("shard <> grown_shard")
+    place = lambda s: (s // 20, s // 5)
+    pairs = {(r.shard, r.grown_shard) for r in moved.collect()}
+    assert pairs and all(place(b)[0] == 0 for _, b in pairs)
+    assert all(place(b) == (0, 0) for a, b in pairs if place(a)[0] == 0)
+    assert all(b == 3 for a, b in pairs if place(a) == (0, 0))
+    # brute force of the descent
+    k, shard = 17, sharding.assign(ids.where("k = 17"), "k", sharding.tree(40)).first().shard
+    at = []
+    for level, names in (("region", [0, 1]), ("rack", None), ("shard", None)):
+        names = names or ([4 * at[0] + j for j in range(4)] if level == "rack" else [5 * at[1] + j for j in range(5)])
+        h = spark.range(1).select(*[F.shiftrightunsigned(F.xxhash64(F.lit(str(k)), F.lit(level), F.lit(n), F.lit(sharding.SEED)), 11).alias(str(n)) for n in names]).first()
+        at.append(max(names, key=lambda n: h[str(n)]))
+    assert at[2] == shard
+
+
+def test_sharding_counts_equal_rows(spark):
+    d = [(1, "same")] * 300 + [(2, None), (2, ""), (None, "x"), (None, "x")]
+    got = sharding.shard_documents(spark.createDataFrame(d, "doc_id long, text string").repartition(3)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(d) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert len({r.shard for r in got if r.doc_id == 1}) == 1
+
+
 def test_line_dedup(spark, docs, rows, empty):
     a = "the quick brownish foxes jumped over sleeping dogs near riverbanks yesterday evening before supper"
     b = a.replace("dogs", "dags")
@@ -212,13 +246,12 @@ def test_mixed_buckets_lose_no_link():
     rng = random.Random(5)
     w = [sentence(rng, 20) for _ in range(2)]
     near = w[1].replace(w[1].split()[3], "other")
-    sketch = bytes(8 * line_dedup.WORDS)
-    rows = [(7, 0, 0, 0, 1, 1, sketch, w[0]), (7, 0, 0, 0, 2, 1, sketch, near), (7, 0, 0, 0, 3, 3, sketch, w[1])]
+    look = [x.tobytes() for x in line_dedup.looks([w[0], near, w[1]])]
+    rows = [(7, 0, 0, 0, 1, 1, look[0]), (7, 0, 0, 0, 2, 1, look[1]), (7, 0, 0, 0, 3, 3, look[2])]
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcdefgh"))
-    cut = batch.select(["a", "b", "c", "d", "e", "f", "g", "h"])
-    out = [(u, v) for b in line_dedup._mixed([cut], 0.8) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcdefg"))
+    out = [(u, v) for b in line_dedup._mixed([batch]) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert out == [(2, 3)]
 
 
@@ -275,6 +308,14 @@ def test_decontamination(spark, docs, rows, empty):
     assert got == {1: [10], 2: [10], 3: [10], 4: [], 5: [], 6: [], 7: [10]}
     assert decontamination.drop_contaminated(docs, bench).count() == len(rows)
     assert decontamination.contaminate(empty, bench).count() == 0
+    # a column named like the result is replaced, others stay; repeated rows and items each count
+    e = spark.createDataFrame([(1, "x " + " ".join(item), "a", 7), (1, "x " + " ".join(item), "a", 7), (None, " ".join(item), "b", 8)], "doc_id long, text string, hits string, th int")
+    twice = spark.createDataFrame([(10, " ".join(item)), (10, " ".join(item)), (13, "five words of an item"), (14, "one two three four")], "item_id long, text string")
+    found = decontamination.contaminate(e, twice).collect()
+    assert sorted(repr((r.doc_id, r.th, [(h.item_id, h.start, h.end) for h in r.hits])) for r in found) == sorted([repr((1, 7, [(10, 1, 31)] * 2))] * 2 + [repr((None, 8, [(10, 0, 30)] * 2))])
+    assert decontamination.drop_contaminated(e, twice).columns == e.columns and decontamination.drop_contaminated(e, twice).count() == 0
+    short = spark.createDataFrame([(1, "with Five words, of an ITEM in it"), (2, "five words of one item"), (3, "one two three four")], "doc_id long, text string")
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in decontamination.contaminate(short, twice).collect()} == {1: [13], 2: [], 3: []}
     assert decontamination.contaminate(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
@@ -302,6 +343,81 @@ def test_sentencepiece(spark, docs, rows, empty):
     assert spm.encode_documents(empty).count() == 0
 
 
+def unigram_model(pieces, kind=1, byte_fallback=False, remove_extra=True):
+    """A serialised model of given pieces and scores."""
+    import struct
+
+    def field(k, data):
+        return bytes([k << 3 | 2, *([len(data)] if len(data) < 128 else [len(data) & 127 | 128, len(data) >> 7])]) + data
+
+    out = b""
+    for text, score, what in pieces:
+        body = field(1, text.encode()) + b"\x15" + struct.pack("<f", score) + (b"\x18" + bytes([what]) if what != 1 else b"")
+        out += field(1, body)
+    trainer = b"\x18" + bytes([kind]) + (b"\x98\x02\x01" if byte_fallback else b"")
+    norm = field(1, b"identity") + b"\x18\x01" + b"\x20" + bytes([remove_extra])
+    return out + field(2, trainer) + field(3, norm)
+
+
+@pytest.mark.parametrize("byte_fallback,remove_extra", [(False, True), (True, False), (False, False)])
+def test_sentencepiece_unigram_paths_have_least_weight(byte_fallback, remove_extra):
+    import sentencepiece
+
+    rng = random.Random(21)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if byte_fallback:
+        pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    words = {"▁", "a", "b", "c", "▁a", "ab", "abc", "bc", "ca", "▁ab", "cab", "▁abc", "aa", "bb"}
+    pieces += [(w, round(-rng.uniform(1, 9), 3), 1) for w in sorted(words)]
+    data = unigram_model(pieces, byte_fallback=byte_fallback, remove_extra=remove_extra)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    t = spm.Transducer(data)
+    for _ in range(400):
+        x = "".join(rng.choice("aabbcc é ") for _ in range(rng.randrange(20)))
+        ids = np.frombuffer(t.encode(x), "<i4").tolist()
+        if byte_fallback:
+            assert ids == sp.encode(x)
+        else:  # the library writes neighbouring unknown characters as one
+            one = [i for k, i in enumerate(ids) if not (i == 0 and k and ids[k - 1] == 0)]
+            assert one == sp.encode(x)
+
+
+def test_shortest_path_against_all_paths():
+    rng = random.Random(22)
+    for _ in range(200):
+        n = rng.randrange(2, 7)
+        arcs = [[(to, rng.randrange(4), float(rng.randrange(9))) for to in range(k + 1, n) for _ in range(rng.randrange(3))] for k in range(n - 1)] + [[]]
+        weight = {(a, b): rng.choice([0.0, 1.0, float("inf")]) for a in (None, 0, 1, 2, 3) for b in range(4)}
+        follows = lambda a, b: weight[a and a[2], b[2]] if a else weight[None, b[2]]  # noqa: B023, E731
+        best, todo = float("inf"), [(0, None, 0.0)]
+        while todo:
+            at, last, w = todo.pop()
+            if at == n - 1:
+                best = min(best, w)
+            for to, label, x in arcs[at]:
+                todo.append((to, label, w + x + weight[last, label]))
+        if best == float("inf"):
+            with pytest.raises(ValueError):
+                spm.shortest(arcs, follows)
+            continue
+        path = spm.shortest(arcs, follows)
+        got, last = 0.0, None
+        for a, b, label in path:
+            got += min(x for to, m, x in arcs[a] if (to, m) == (b, label)) + weight[last, label]
+            last = label
+        assert got == best and path[0][0] == 0 and path[-1][1] == n - 1
+
+
+def test_sentencepiece_long_unbroken_text():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    t = spm.Transducer(open(spm.MODEL, "rb").read())
+    rng = random.Random(23)
+    for x in ("ab" * 3000, "".join(rng.choice("etaoinshr") for _ in range(6000)), "=" * 5000):
+        assert np.frombuffer(t.encode(x), "<i4").tolist() == sp.encode(x)
+
+
 def test_suffix_automaton():
     rng = random.Random(3)
     seq = [rng.randrange(3) for _ in range(60)]
@@ -333,16 +449,60 @@ def test_language_id(spark, empty):
     got = {r.doc_id: r for r in language_id.identify(df, m).collect()}
     assert all(got[k].lang_pred == lang and 0 <= got[k].score <= 1 for k, _, lang in d)
     assert [got[k].lang_pred for k in (100, 101, 102, 103, None)] == ["und", "und", "und", "aa", "bb"]
-    # the parse is the greedy one
-    lut = language_id.lookup(m.letters)
-    code = language_id.encode(d[50][1], lut)
-    seqs = [np.concatenate([np.append(language_id.encode(t, lut), 1) for _, t, x in sorted(d[:40], key=lambda r: r[0]) if x == lang]).tobytes() for lang in m.langs]
-    assert language_id.phrases([code], m, 1).shape == (1, 2) and len(seqs) == 2
+    # ties go to the first language, repeated rows each count, and columns named like the result are ignored
+    same = language_id.train({"b": ["abc abc"], "a": ["abc abc"]}, 1000)
+    again = spark.createDataFrame([(1, "abc", "x", 9)] * 2, "doc_id long, text string, lang_pred string, score int")
+    assert [(r.doc_id, r.lang_pred) for r in language_id.identify(again, same).collect()] == [(1, "a")] * 2
     nothing = language_id.fit(empty, "lang", "doc_id", "text")
     assert language_id.identify(empty, nothing).count() == 0
     assert {r.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def test_phrases_are_those_of_one_greedy_parse():
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abc d") for _ in range(n))
+    samples = {"x": [text(300), text(500)], "y": [text(400) + "e"]}
+    m = language_id.train(samples, 10_000)
+    lut = language_id.lookup(m.letters, m.classes)
+    code = lambda t: language_id.encode(t, lut).tobytes()
+    seqs = [b"".join(code(t) + b"\x01" for t in samples[x]) for x in m.langs]
+    copied = (samples["x"][1] * 4)[: 3 * language_id.SEGMENT]
+    texts = [text(n) for n in (1, 20, 511, 512, 513, 1600)] + [copied, "zz" + text(700) + "q", samples["x"][0] + samples["y"][0] * 3]
+    want = []
+    for t in texts:
+        row = []
+        for seq in seqs:
+            c, at, n = code(t), 0, 1
+            now = b""
+            while at < len(c):
+                if c[at] != 1 and now + c[at : at + 1] in seq:
+                    now += c[at : at + 1]
+                else:
+                    n += 1
+                    now = c[at : at + 1] if c[at] != 1 and c[at : at + 1] in seq else b""
+                at += 1
+            row.append(n)
+        want.append(row)
+    assert language_id.phrases([language_id.encode(t, lut) for t in texts], m).tolist() == want
+
+
+def test_models_in_turn_answer_for_themselves(spark):
+    texts = spark.createDataFrame([(1, "aba abab ba"), (2, "cdc cdcd dc")], "doc_id long, text string").coalesce(1)
+    for k in range(6):
+        names = (f"m{k}", f"n{k}")
+        m = language_id.train({names[k % 2]: ["aba abab baab abba"], names[1 - k % 2]: ["cdc cdcd dccd cddc"]}, 1000)
+        assert {r.doc_id: r.lang_pred for r in language_id.identify(texts, m).collect()} == {1: names[k % 2], 2: names[1 - k % 2]}
+
+
+def test_rarer_letters_share_codes():
+    rng = random.Random(2)
+    han = [chr(0x4E00 + k) for k in range(900)]
+    vocab = [["".join(rng.choice(han) for _ in range(rng.randrange(2, 4))) for _ in range(150)] for _ in range(2)]
+    text = lambda k, n: "".join(rng.choice(vocab[k]) for _ in range(n))
+    m = language_id.train({"a": [text(0, 1500)], "b": [text(1, 1500)]}, 10_000)
+    assert m.classes and language_id.judge([text(0, 60), text(1, 60)], m)[0] == ["a", "b"]
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(0)
     w = np.exp(rng.normal(size=(2, 2)))
@@ -415,6 +575,19 @@ def test_warc(spark):
     want = [(i, len((h or "").encode()), dig(h), *(("response", None) if first[h or ""] == i else ("revisit", first[h or ""]))) for i, _, h in d]
     assert got == sorted(want, key=repr)
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
+    # columns named like those of the result
+    other = spark.createDataFrame([(1, "u", "<p>", "x", 5)], "page_id long, url string, html string, refers_to string, payload int")
+    assert [(r.page_id, r.record_type, r.payload_bytes) for r in warc.round_trip(spark, other).collect()] == [(1, "response", 3)]
+
+
+def test_warc_keeps_uris_as_they_are():
+    out = io.BytesIO()
+    for x in ("http://a/x%20y", "x%0Ay", "a%25b", "two\nlines"):
+        warc.write_record(out, [("WARC-Type", "response"), ("WARC-Target-URI", x)], b"")
+    got = [h["warc-target-uri"] for h, _ in warc.read_records(io.BytesIO(out.getvalue()))]
+    assert got == ["http://a/x%20y", "x%0Ay", "a%25b", "two%0Alines"]
+    # pages of one id and different payloads are records of their own
+    assert warc.record_id(1, "A") != warc.record_id(1, "B")
 
 
 def test_warc_reader_finds_damage():
@@ -451,6 +624,11 @@ def test_hamming_search(spark):
     assert hamming_search.top_k(df.limit(0), df.limit(0)).count() == 0
     v = spark.createDataFrame([(1, [0.5, -1.0, None]), (2, None), (None, [1.0])], "vec_id long, embedding array<double>")
     assert [(r.id, r.code) for r in hamming_search.sign_codes(v).collect()] == [(1, 1)]
+    wide = spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="more than 64"):
+        hamming_search.sign_codes(wide).collect()
+    assert sum(w for _, w in hamming_search.segments_for(500)) == 64
+    assert len(hamming_search.segments_for(10**9)) == 3 and sum(w for _, w in hamming_search.segments_for(10**9)) == 64
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
