@@ -40,7 +40,7 @@ def open_at(path: str):
         at, name = fs.FileSystem.from_uri(path)
     else:
         at, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/") if path.startswith("file:") else path
-    return at.open_input_file(name)
+    return io.BufferedReader(at.open_input_file(name))
 
 
 @dataclass
@@ -59,7 +59,8 @@ def read_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(points, skipped): the first three numbers of each line.
 
     Separators are space, tab, comma and semicolon. Blank lines do not count; comments (# or /),
-    lines without three leading finite numbers are counted in ``skipped(file, n)``.
+    lines without three leading finite numbers are counted in ``skipped(file, n)``. ``pid`` is a hash of the row, the
+    same whenever and in whatever splits the file is read; equal rows share it.
     """
     t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line")).where("line <> ''")
     sep = r"[\s,;]+"
@@ -68,7 +69,7 @@ def read_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     ok = F.lit(True)
     for c in "xyz":
         ok = ok & F.col(c).isNotNull() & (F.abs(F.coalesce(F.col(c), F.lit(0.0))) < float("inf"))
-    points = got.where(ok).select("file", F.monotonically_increasing_id().alias("pid"), "x", "y", "z")
+    points = got.where(ok).select("file", F.xxhash64("file", "x", "y", "z").alias("pid"), "x", "y", "z")
     return points, got.where(~ok).groupBy("file").agg(F.count("*").alias("n"))
 
 
@@ -112,8 +113,10 @@ def lzf_decompress(data: bytes, size: int) -> bytes:
         at += 1
         if back < 0:
             raise PointFormatError("broken compressed data")
-        for k in range(n + 2):
-            out.append(out[back + k])
+        n += 2
+        piece = out[back : back + n]
+        # a copy that overlaps its own output repeats what there is
+        out += piece if len(piece) == n else (piece * (n // len(piece) + 1))[:n]
     if len(out) != size:
         raise PointFormatError("compressed data of another length")
     return bytes(out)
@@ -239,7 +242,8 @@ def _whole(path: str, lay: Layout, kind: str) -> np.ndarray:
 
 
 def read_binary(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(points, skipped) of PCD, PLY and LAS files; points with non-finite coordinates are skipped.
+    """(points, skipped) of PCD, PLY and LAS files; points with non-finite coordinates are skipped. A PLY file whose
+    points are not as many as its header says is cut off, which is an error.
 
     Every range of ``RECORDS`` records is a task; formats without fixed records are one task a file.
     """
@@ -259,6 +263,8 @@ def read_binary(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
             for path, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lay, kind = layout(path)
                 xyz = _records(path, lay, first, n) if kind == "ranges" else _whole(path, lay, kind)
+                if len(xyz) != n:
+                    raise PointFormatError(f"{path}: the header says {n} points, there are {len(xyz)}")
                 for k in range(0, len(xyz), 65536):
                     part = xyz[k : k + 65536]
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(first + k, first + k + len(part))), *[pa.array(np.ascontiguousarray(part[:, c])) for c in range(3)]], names=["file", "pid", "x", "y", "z"])
