@@ -14,16 +14,23 @@ from pyspark.sql import functions as F
 from silvaspark.runtime import written
 
 
+def _with_minimum(e: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges with the minimum of their end ``u``. The join is on the complement of ``u``, so both sides come to it through
+    an exchange of its own, and the edges of a star's centre, which all have one key, can be split over tasks at run time."""
+    a = e.select(F.bitwise_not("u").alias("k"), "u", "v")
+    return a.join(low.select(F.bitwise_not("u").alias("k"), "m"), "k").select("u", "v", "m")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_minimum(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_minimum(down, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v")
 
 

@@ -49,13 +49,6 @@ def pairs(kps: DataFrame) -> DataFrame:
     return d.withColumn("d", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).where(F.col("d") >= COINCIDENT)
 
 
-def coincident(kps: DataFrame) -> DataFrame:
-    """(scan, n) of ordered pairs of keypoints in the same place."""
-    b = kps.select("scan", F.col("kp").alias("q"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    d = kps.join(b, "scan").where("kp <> q").where(F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")) < COINCIDENT)
-    return d.groupBy("scan").agg(F.count("*").alias("n"))
-
-
 def nearest_three(p: DataFrame) -> DataFrame:
     """(scan, kp, rank 1..3, q, vx, vy, d), for keypoints with three neighbours at least."""
     w = Window.partitionBy("scan", "kp").orderBy("d", "q")
@@ -157,7 +150,8 @@ def triangle_votes(src: DataFrame, tgt: DataFrame, thr: float, keys: list[str] |
     """(keys, s, t, votes): votes of congruent triangles for keypoint pairs.
 
     Each target triangle is turned in six ways; the first that fits a source triangle side by side
-    votes for its three pairs. The equi-join is on the bucket of the first side.
+    votes for its three pairs. The equi-join is on the buckets of all three sides: a turned triangle goes to
+    the 27 cells around its own, so only triangles that are alike in every side meet.
     """
     keys = keys or []
     turns = []
@@ -165,9 +159,12 @@ def triangle_votes(src: DataFrame, tgt: DataFrame, thr: float, keys: list[str] |
         side = lambda u, v: F.col("ab") if {u, v} == {"a", "b"} else F.col("bc") if {u, v} == {"b", "c"} else F.col("ca")
         turns.append(F.struct(F.lit(k).alias("k"), F.col(p).alias("ta"), F.col(q).alias("tb"), F.col(r).alias("tc"), side(p, q).alias("t1"), side(q, r).alias("t2"), side(r, p).alias("t3")))
     t = tgt.select(*keys, F.struct("a", "b", "c").alias("__tri"), F.inline(F.array(*turns)))
-    t = t.select("*", _near("t1", thr, "right"))
-    s = src.select("*", _near("ab", thr, "left"))
-    fit = s.join(t, [*keys, "__b"]).where((F.abs(F.col("ab") - F.col("t1")) < thr) & (F.abs(F.col("bc") - F.col("t2")) < thr) & (F.abs(F.col("ca") - F.col("t3")) < thr))
+    own = [f"__b{n}" for n in range(3)]
+    s = src.select("*", *[F.floor(F.col(c) / F.lit(thr)).alias(o) for c, o in zip(("ab", "bc", "ca"), own, strict=True)])
+    for c, o in zip(("t1", "t2", "t3"), own, strict=True):
+        b = F.floor(F.col(c) / F.lit(thr))
+        t = t.select("*", F.explode(F.array(b - 1, b, b + 1)).alias(o))
+    fit = s.join(t, [*keys, *own]).where((F.abs(F.col("ab") - F.col("t1")) < thr) & (F.abs(F.col("bc") - F.col("t2")) < thr) & (F.abs(F.col("ca") - F.col("t3")) < thr))
     first = fit.groupBy(*keys, "a", "b", "c", "__tri").agg(F.min(F.struct("k", "ta", "tb", "tc")).alias("m"))
     votes = first.select(*keys, F.inline(F.array(*[F.struct(F.col(x).alias("s"), F.col(f"m.t{x}").alias("t")) for x in "abc"])))
     return votes.groupBy(*keys, "s", "t").agg(F.count("*").alias("votes"))
@@ -191,29 +188,37 @@ def greedy_one_to_one(votes: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return out
 
 
-def match(src_kp: DataFrame, tgt_kp: DataFrame, prm: Params = Params(), keys: list[str] | None = None) -> DataFrame:
-    """(keys, s, t, used_triangle, best_score): matched keypoints of every job in ``keys``.
+def described(kps: DataFrame, prm: Params, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keypoints, descriptors, counts) of (keys, kp, x, y), written, with the keys as one column ``scan``. Counts are
+    (scan, kps, n, enc2_first, enc3_first). Neither depends on a threshold."""
+    k = written(kps.select(F.struct(*keys).cast("string").alias("scan"), "kp", "x", "y"), "keypoints")
+    n = k.groupBy("scan").agg(F.count("*").alias("kps")).join(descriptor_stats(k, prm), "scan", "left").na.fill(0)
+    return k, written(descriptors(k, prm), "descriptors"), written(n, "descriptor-counts")
+
+
+def matching(source: tuple[DataFrame, DataFrame, DataFrame], target: tuple[DataFrame, DataFrame, DataFrame], prm: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """(matches, counts) by ``scan`` of two ``described`` sides.
 
-    Both sides hold (keys, scan, kp, x, y, z). If a job's best score reaches ``th_score``, pairs above
-    it are taken (equal scores are not); else triangles among the keypoints that the best pair's
-    dimensions name vote.
+    matches(scan, s, t): if a scan's best score reaches ``th_score``, pairs above it are taken (equal scores are not);
+    else triangles among the keypoints that the best pair's dimensions name vote. counts: gate_passed, candidates,
+    best_score, best_dc, best_fm, used_triangle, tri_set_src, tri_set_tgt, tri_matches, only of scans in which a
+    descriptor pair passes the gate. Descriptors are read from where they are written; the gate and the agreement are
+    written once.
     """
-    keys = keys or ["scan"]
-    job = lambda df: df.withColumn("scan", F.struct(*keys).cast("string"))
-    ids = job(src_kp.select(*keys).distinct()).select("scan", *[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)])
-    a, b = job(src_kp).select("scan", "kp", "x", "y"), job(tgt_kp).select("scan", "kp", "x", "y")
-    # used several times below: computed once
-    da, db = written(descriptors(a, prm), "descriptors"), written(descriptors(b, prm), "descriptors")
+    (a, da, _), (b, db, _) = source, target
     agree = written(agreeing(da, db, prm.threshold, ["scan"]), "agreeing")
-    cand = scored(best_pairs(dc_scores(da, db, prm.threshold, ["scan"]), prm.min_dc, ["scan"]), agree, prm.w, ["scan"])
+    gate = written(gatekeeper(da, db, prm.threshold, ["scan"]), "gate")
+    dc = agree.groupBy("scan", "i", "j").agg(F.count("*").alias("dc"))
+    scores = gate.join(dc, ["scan", "i", "j"], "left").select("scan", "i", "j", F.coalesce("dc", F.lit(0)).alias("dc"))
     w = Window.partitionBy("scan").orderBy(F.desc("score"), F.desc("dc"), "i")
-    cand = written(cand, "candidates").withColumns({"rank": F.row_number().over(w), "best_score": F.max("score").over(Window.partitionBy("scan"))})
-    plain = cand.where((F.col("score") > prm.th_score) & (F.col("best_score") >= prm.th_score)).select("scan", F.col("i").alias("s"), F.col("j").alias("t"), F.lit(False).alias("used_triangle"), "best_score")
-    low = cand.where((F.col("rank") == 1) & (F.col("best_score") < prm.th_score)).select("scan", "i", "j", "best_score")
-    named = agree.join(low, ["scan", "i", "j"])
+    cand = scored(best_pairs(scores, prm.min_dc, ["scan"]), agree, prm.w, ["scan"]).withColumn("rank", F.row_number().over(w))
+    cand = written(cand, "candidates")
+    best = cand.where("rank = 1").select("scan", "i", "j", F.col("score").alias("best_score"), F.col("dc").alias("best_dc"), F.col("fm").alias("best_fm"), (F.col("score") < prm.th_score).alias("used_triangle"))
+    plain = cand.where(F.col("score") > prm.th_score).select("scan", F.col("i").alias("s"), F.col("j").alias("t"))
+    named = written(agree.join(best.where("used_triangle").select("scan", "i", "j"), ["scan", "i", "j"]).select("scan", "na", "nb"), "named")
     ts = triangle_sides(a, named.select("scan", F.col("na").alias("kp")), ["scan"])
     tt = triangle_sides(b, named.select("scan", F.col("nb").alias("kp")), ["scan"])
-    votes = triangle_votes(ts, tt, prm.threshold, ["scan"])
+    votes = written(triangle_votes(ts, tt, prm.threshold, ["scan"]), "votes")
 
     def choose(pdf):
         import pandas as pd
@@ -221,6 +226,24 @@ def match(src_kp: DataFrame, tgt_kp: DataFrame, prm: Params = Params(), keys: li
         got = greedy_one_to_one(list(pdf[["s", "t", "votes"]].itertuples(index=False, name=None)))
         return pd.DataFrame([(pdf["scan"].iloc[0], s, t) for s, t in got], columns=["scan", "s", "t"])
 
-    tri = votes.groupBy("scan").applyInPandas(choose, "scan string, s long, t long").join(low.select("scan", "best_score"), "scan")
-    out = plain.unionByName(tri.select("scan", "s", "t", F.lit(True).alias("used_triangle"), "best_score"))
-    return out.join(ids, "scan").select(*[F.col(f"__k{n}").alias(k) for n, k in enumerate(keys)], "s", "t", "used_triangle", "best_score")
+    matches = plain.unionByName(votes.groupBy("scan").applyInPandas(choose, "scan string, s long, t long"))
+    counts = gate.groupBy("scan").agg(F.count("*").alias("gate_passed"))
+    parts = [
+        cand.groupBy("scan").agg(F.count("*").alias("candidates")),
+        best.drop("i", "j"),
+        named.groupBy("scan").agg(F.countDistinct("na").alias("tri_set_src"), F.countDistinct("nb").alias("tri_set_tgt")),
+        # every match of two triangles votes for three pairs
+        votes.groupBy("scan").agg((F.sum("votes") / 3).cast("long").alias("tri_matches")),
+    ]
+    for p in parts:
+        counts = counts.join(p, "scan", "left")
+    return written(matches, "matches"), written(counts, "match-counts")
+
+
+def match(src_kp: DataFrame, tgt_kp: DataFrame, prm: Params = Params(), keys: list[str] | None = None) -> DataFrame:
+    """(keys, s, t, used_triangle, best_score): matched keypoints of every job in ``keys``; both sides hold (keys, kp, x, y)."""
+    keys = keys or ["scan"]
+    ids = src_kp.select(*keys).distinct().select(F.struct(*keys).cast("string").alias("scan"), *[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)])
+    pairs, counts = matching(described(src_kp, prm, keys), described(tgt_kp, prm, keys), prm)
+    out = pairs.join(counts.select("scan", "used_triangle", "best_score"), "scan").join(ids, "scan")
+    return out.select(*[F.col(f"__k{n}").alias(k) for n, k in enumerate(keys)], "s", "t", "used_triangle", "best_score")

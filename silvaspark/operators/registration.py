@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvaspark.functions.retention import mix
+from silvaspark.operators.components import connected_components
 from silvaspark.operators.spatial import range_join
+from silvaspark.runtime import written
 
 R_COLS = [f"r{i}{j}" for i in range(3) for j in range(3)]
 T_COLS = [f"t{i}" for i in range(3)]
@@ -41,30 +43,39 @@ def from_moments(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
 
 
 def kabsch_ransac(src: np.ndarray, dst: np.ndarray, iterations: int = 1000, inlier: float = 0.3, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(R, t, inliers). Triples come from a splitmix64 stream; a triple that repeats an index uses up
-    an iteration; the first best model is refitted to its inliers if they are three at least."""
+    """(R, t, inliers). Triples come from a splitmix64 stream; one that repeats an index or is collinear counts as
+    an iteration. The first model with most inliers is refitted to them, if they are three at least; the inliers
+    returned are those of the refitted transform.
+
+    All triples are drawn and all models solved and compared as arrays."""
     n = len(src)
     if n < 3:
         return None
-    s = np.full(1, seed, np.uint64)
-    best = None
-    for _ in range(iterations):
-        pick = []
-        for _ in range(3):
-            s = mix(s)
-            pick.append(int(s[0] % np.uint64(n)))
-        if len(set(pick)) < 3:
-            continue
-        m = kabsch(src[pick], dst[pick])
-        if m is None:
-            continue
-        ok = np.linalg.norm(src @ m[0].T + m[1] - dst, axis=1) < inlier
-        if best is None or ok.sum() > best.sum():
-            best = ok
-    if best is None or best.sum() < 3:
-        return None
-    m = kabsch(src[best], dst[best])
-    return None if m is None else (*m, best)
+    s, stream = np.full(1, seed, np.uint64), np.empty(3 * iterations, np.uint64)
+    for k in range(len(stream)):
+        s = mix(s)
+        stream[k] = s[0]
+    pick = (stream % np.uint64(n)).astype(np.int64).reshape(-1, 3)
+    pick = pick[(pick[:, 0] != pick[:, 1]) & (pick[:, 1] != pick[:, 2]) & (pick[:, 0] != pick[:, 2])]
+    inliers = lambda r, t: np.linalg.norm(np.einsum("kij,nj->kni", r, src) + t[:, None] - dst, axis=2) < inlier
+    best, most = None, 2
+    block = max(1, 2_000_000 // n)
+    for at in range(0, len(pick), block):
+        a, b = src[pick[at : at + block]], dst[pick[at : at + block]]
+        ca, cb = a.mean(axis=1), b.mean(axis=1)
+        u, w, vt = np.linalg.svd(np.einsum("kni,knj->kij", a - ca[:, None], b - cb[:, None]))
+        solid = w[:, 1] >= 1e-9 * np.maximum(1.0, w[:, 0])
+        v, ut = vt.transpose(0, 2, 1), u.transpose(0, 2, 1)
+        d = np.repeat(np.eye(3)[None], len(v), axis=0)
+        d[:, 2, 2] = np.where(np.linalg.det(v @ ut) < 0, -1.0, 1.0)
+        r = v @ d @ ut
+        ok = inliers(r, cb - np.einsum("kij,kj->ki", r, ca)) & solid[:, None]
+        count = ok.sum(axis=1)
+        if len(count) and count.max() > most:
+            most = int(count.max())
+            best = ok[count.argmax()]
+    m = None if best is None else kabsch(src[best], dst[best])
+    return None if m is None else (*m, inliers(m[0][None], m[1][None])[0])
 
 
 def moments(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,9 +141,11 @@ def yaw_tilt(a: str = "", b: str = "g") -> tuple[Column, Column]:
 def point_errors(points: DataFrame, transforms: DataFrame, job: list[str], cloud: list[str] | None = None) -> DataFrame:
     """(job, e_p, n): mean distance of the source points under the estimated (r.., t..) and true (gr.., gt..)
     transform. All jobs of a cloud are served by one scan; the transforms are one row per job."""
-    few = transforms.limit(100_001).count() <= 100_000
-    t = F.broadcast(transforms) if few else transforms
-    j = points.join(t, cloud) if cloud else points.crossJoin(t)
+    if transforms.limit(100_001).count() <= 100_000:
+        transforms = F.broadcast(transforms)
+    elif not cloud:
+        raise ValueError("more than 100,000 jobs need the cloud of each one as a key")
+    j = points.join(transforms, cloud) if cloud else points.crossJoin(transforms)
     p = [F.col(c).cast("double") for c in "xyz"]
     d = []
     for i in range(3):
@@ -211,9 +224,12 @@ def assign_positions(det: DataFrame, ref: DataFrame, radius: float, keys: list[s
     """(keys, det_id, ref_id, d): optimal assignment per key.
 
     det(keys, det_id, dx, dy), ref(keys, ref_id, rx, ry). The grid join leaves only pairs within the
-    radius; their connected parts are independent, so each key's small part is solved by itself.
+    radius; their connected parts are independent, so each part, a few stems, is solved by itself.
     """
-    edges = range_join(det, ref, ["dx", "dy"], ["rx", "ry"], radius, keys)
+    edges = written(range_join(det, ref, ["dx", "dy"], ["rx", "ry"], radius, keys).select(*keys, "det_id", "ref_id", "d2"), "near")
+    ends = edges.withColumns({"__u": F.xxhash64(F.lit("det"), *keys, "det_id"), "__v": F.xxhash64(F.lit("ref"), *keys, "ref_id")})
+    part = connected_components(ends, "__u", "__v").select(F.col("node").alias("__u"), F.col("component").alias("__part"))
+    edges = ends.join(part, "__u").drop("__u", "__v")
     kinds = ", ".join(f"`{k}` {det.schema[k].dataType.simpleString()}" for k in keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,7 +249,7 @@ def assign_positions(det: DataFrame, ref: DataFrame, radius: float, keys: list[s
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "det_id", "ref_id", "d"]]
 
-    return edges.groupBy(*keys).applyInPandas(solve, f"{kinds}, det_id long, ref_id long, d double")
+    return edges.groupBy(*keys, "__part").applyInPandas(solve, f"{kinds}, det_id long, ref_id long, d double")
 
 
 def assignment_scores(det: DataFrame, ref: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,10 +12,11 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvaspark.operators.components import connected_components
+from silvaspark.runtime import written
 
 
 def _cells(cols: list[str], side: float, prefix: str) -> list[Column]:
@@ -94,22 +95,30 @@ def normals(points: DataFrame, pid: str, radius: float = 0.10, keys: list[str] |
     return out.select(*(keys or []), pid, "n", "__e.*")
 
 
-def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """Edges (u, v), u < v, between points within ``eps``.
+def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, edges): sub-cells as nodes (node, pid), and one edge (u, v) for each pair of sub-cells that are joined.
 
-    Points of one sub-cell of side eps/sqrt(dims) are all adjacent, so only the edge to the cell's
-    first point is given; between sub-cells all edges within eps are.
+    Points of one sub-cell of side eps/sqrt(dims) are all adjacent, so a sub-cell is one node, named by its
+    smallest pid. Two sub-cells are joined if their least distance is within eps; that is one row for each pair of
+    near sub-cells however many points they hold, since minima are taken before the shuffle.
     """
     keys = keys or []
     side = eps / math.sqrt(len(cols)) * (1 - 1e-9)
     sub = [f"__s{k}" for k in range(len(cols))]
     p = points.select(*keys, pid, *cols, *[F.floor(F.col(c) / F.lit(side)).alias(s) for c, s in zip(cols, sub, strict=True)])
-    first = p.groupBy(*keys, *sub).agg(F.min(pid).alias("v"))
-    inner = p.join(first, [*keys, *sub]).where(F.col(pid) > F.col("v")).select(F.col("v").alias("u"), F.col(pid).alias("v"))
-    a = p.select(*keys, *[F.col(c).alias(f"{c}_a") for c in cols], F.col(pid).alias("u"), F.struct(*sub).alias("__sa"))
-    b = p.select(*keys, *[F.col(c).alias(f"{c}_b") for c in cols], F.col(pid).alias("v"), F.struct(*sub).alias("__sb"))
-    across = range_join(a, b, [f"{c}_a" for c in cols], [f"{c}_b" for c in cols], eps, keys, strict).where((F.col("u") < F.col("v")) & (F.col("__sa") != F.col("__sb")))
-    return inner.unionAll(across.select("u", "v"))
+    names = p.groupBy(*keys, *sub).agg(F.min(pid).alias("node"))
+    members = written(p.join(names, [*keys, *sub]).select(*keys, pid, *cols, *sub, "node"), "sub-cells")
+    a = members.select(*keys, *[F.col(c).alias(f"{c}_a") for c in cols], F.col("node").alias("u"))
+    b = members.select(*keys, *[F.col(c).alias(f"{c}_b") for c in cols], F.col("node").alias("v"))
+    near = range_join(a, b, [f"{c}_a" for c in cols], [f"{c}_b" for c in cols], eps, keys, strict).where(F.col("u") < F.col("v"))
+    return members.select(*keys, pid, "node"), near.groupBy("u", "v").agg(F.min("d2").alias("d2")).select("u", "v")
+
+
+def _components(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str], strict: bool = False) -> DataFrame:
+    """(keys, pid, group) of every point: the smallest pid of its component."""
+    members, edges = adjacency(points, pid, cols, eps, keys, strict)
+    comp = connected_components(edges)
+    return members.join(comp, "node", "left").select(*keys, pid, F.coalesce("component", "node").alias("group"))
 
 
 def clusters(points: DataFrame, pid: str, eps: float, cols: list[str] | None = None, min_points: int = 1, max_points: int = 10_000_000, keys: list[str] | None = None) -> DataFrame:
@@ -119,8 +128,7 @@ def clusters(points: DataFrame, pid: str, eps: float, cols: list[str] | None = N
     """
     keys = keys or []
     cols = cols or ["x", "y", "z"]
-    comp = connected_components(adjacency(points, pid, cols, eps, keys))
-    named = points.select(*keys, pid).join(comp, F.col(pid) == F.col("node"), "left").select(*keys, F.coalesce("component", pid).alias("cluster"), pid)
+    named = _components(points, pid, cols, eps, keys).withColumnRenamed("group", "cluster")
     sizes = named.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size").between(min_points, max_points))
     return named.join(sizes, "cluster").select(*keys, "cluster", pid, "size")
 
@@ -131,8 +139,7 @@ def merge_points(points: DataFrame, pid: str, radius: float, keys: list[str] | N
     keys = keys or []
     if radius <= 0:
         return points.select(*keys, pid, "x", "y", "z", F.lit(1).cast("long").alias("n"))
-    comp = connected_components(adjacency(points, pid, ["x", "y"], radius, keys, strict=True))
-    named = points.join(comp, F.col(pid) == F.col("node"), "left").withColumn("__g", F.coalesce("component", pid))
+    named = points.join(_components(points, pid, ["x", "y"], radius, keys, strict=True).select(pid, F.col("group").alias("__g")), pid)
     g = named.groupBy(*keys, F.col("__g").alias(pid)).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count("*").alias("n"))
     return g.select(*keys, pid, "x", "y", "z", "n")
 
@@ -180,8 +187,3 @@ def repeatable(source: DataFrame, target: DataFrame, sid: str, tid: str, near: f
     inside = source.where(F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) <= reach)
     hit = range_join(inside.select(sid, "sx", "sy"), target.select(tid, "tx", "ty"), ["sx", "sy"], ["tx", "ty"], near)
     return inside.join(hit.select(sid), sid, "left_semi")
-
-
-def top_n(df: DataFrame, partition: list[str], order: list[Column], n: int) -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).withColumnRenamed("__rank", "rank")

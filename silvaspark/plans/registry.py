@@ -199,7 +199,7 @@ def ground_supported_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY z, x, y) AS r, count(*) OVER (PARTITION BY ix, iy) AS n FROM c)
 SELECT ix, iy, x, y, z, n FROM k WHERE n >= 3 AND r = floor(0.05::DOUBLE * (n - 1)) + 1""")
 def ground_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.ground_samples(V.pts(spark, sf_dir), terrain.Params(cell=1.0, select="percentile"))
+    return terrain.ground_samples(V.pts(spark, sf_dir), terrain.Params(cell=1.0, ground_select="percentile"))
 
 
 SLOPED = f"""{GROUND}, s AS (SELECT * FROM g a WHERE NOT EXISTS (

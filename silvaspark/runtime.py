@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is unset, as in local tests, a folder of this machine is chosen.
+    Only where the setting is unset and the master is local, as in tests, a folder of this machine is chosen.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     now = sc._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="silvaspark-"))
         now = sc._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")

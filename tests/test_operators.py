@@ -113,7 +113,7 @@ def test_cylinder_checks():
     strip = np.abs(a) < math.radians(40)
     g = stems.fit_cylinder(p[strip], n[strip])
     assert g["fail"] == 7 and g["fail_mask"] >> 7 & 1
-    off = stems.fit_cylinder(p[strip], n[strip], stems.CylinderParams(check_arc=False))
+    off = stems.fit_cylinder(p[strip], n[strip], stems.CylinderParams(check_arc_coverage=False))
     assert off["fail"] == 0 and off["arc_deg"] == g["arc_deg"]
     assert stems.fit_cylinder(p[:5], n[:5])["fail"] == 1
 
