@@ -246,12 +246,17 @@ def test_mixed_buckets_lose_no_link():
     rng = random.Random(5)
     w = [sentence(rng, 20) for _ in range(2)]
     near = w[1].replace(w[1].split()[3], "other")
-    look = [x.tobytes() for x in line_dedup.looks([w[0], near, w[1]])]
-    rows = [(7, 0, 0, 0, 1, 1, look[0]), (7, 0, 0, 0, 2, 1, look[1]), (7, 0, 0, 0, 3, 3, look[2])]
+    lines = [w[0], near, w[1]]
+    tables = line_dedup.tables_for(3)
+    sig = line_dedup.minhashes(lines)
+    # the first bucket that the second and third line share
+    keys = line_dedup.table_keys(sig, tables)[0]
+    bucket = int(keys[1][keys[1] == keys[2]][0])
+    rows = [(bucket, 0, 0, 0, k + 1, (1, 1, 3)[k], sig[k].tobytes(), lines[k]) for k in range(3)]
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcdefg"))
-    out = [(u, v) for b in line_dedup._mixed([batch]) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcdefgh"))
+    out = [(u, v) for b in line_dedup._mixed([batch], tables, 0.8) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert out == [(2, 3)]
 
 
