@@ -139,6 +139,7 @@ HITS = "mask int, hash long, doc_id long, th long, at int, near binary, places b
 
 def _passing(batches, bloom: np.ndarray, masks: list[int]):
     """Seeds of texts that pass the filter, with the words around them and their places among all words."""
+    W.claim("decontamination", _normal.clear)
     bits = 8 * len(bloom)
     all_masks = (*MASKS, SHORT_MASK)
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())

@@ -68,6 +68,7 @@ def summarize(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
+        W.claim("jaccard_join")
         for b in batches:
             ids, sigs, ns = [], [], []
             for x in b.column(2):

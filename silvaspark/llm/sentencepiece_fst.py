@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silvaspark.llm import words as W
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -365,6 +367,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", de
     at = docs.columns.index(text)
 
     def run(batches):
+        W.claim("sentencepiece", _compiled.clear)
         fst = compiled(sent.value)
         for b in batches:
             for k in range(0, b.num_rows, 500):

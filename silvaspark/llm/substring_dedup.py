@@ -143,6 +143,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
 
     def gather(batches):
+        W.claim("substring_dedup")
         held, n = [], 0
 
         def flush():

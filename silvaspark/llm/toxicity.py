@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvaspark.llm import words as W
+
 SEGMENT = 128
 FLOOR = 0.05
 #: Words before and after a marked token that go into a training sequence.
@@ -347,6 +349,7 @@ def score(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text",
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batches):
+        W.claim("toxicity")
         cache = Emissions(sent.value)
         for b in batches:
             texts = b.column(b.num_columns - 1)
@@ -373,6 +376,7 @@ def drop_toxic(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "t
     at = docs.columns.index(text)
 
     def run(batches):
+        W.claim("toxicity")
         cache = Emissions(sent.value)
         for b in batches:
             keep = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import xxhash
 
@@ -24,6 +26,21 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+
+_owner = [""]
+_kept = {"": _hashes.clear}
+
+
+def claim(owner: str, clear=None) -> None:
+    """Python workers run tasks of many stages. At the start of a task of another operator than the last one, what all
+    of them keep by module is dropped, so that it does not add up; ``clear`` drops what ``owner`` will keep."""
+    if clear is not None:
+        _kept[owner] = clear
+    if _owner[0] != owner:
+        for drop in _kept.values():
+            drop()
+        _owner[0] = owner
+        gc.collect()
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
