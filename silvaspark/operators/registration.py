@@ -129,6 +129,11 @@ def translation_error(a: str = "", b: str = "g") -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
+def station_separation(prefix: str = "") -> Column:
+    """Horizontal distance between two stations by the transform between them."""
+    return F.hypot(F.col(f"{prefix}t0"), F.col(f"{prefix}t1"))
+
+
 def yaw_tilt(a: str = "", b: str = "g") -> tuple[Column, Column]:
     """Yaw and tilt in degrees of the rotation from b to a."""
     def at(i: int, j: int) -> Column:

@@ -121,6 +121,18 @@ def registration_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def variant_table(rows: DataFrame, variant: str = "variant") -> DataFrame:
+    """(variant, matches, correct, svd, ransac, ep_svd, ep_ransac) of registration rows (variant, solver, success, e_p,
+    n_matches, n_correct): matches are counted once, successes and the median error by solver, over runs with a transform."""
+    of = lambda s, c: F.when(F.col("solver") == s, c)
+    med = lambda s: F.percentile(of(s, finite(F.col("e_p"))), F.lit(0.5))
+    return rows.groupBy(variant).agg(
+        F.sum(of("svd", F.col("n_matches")).otherwise(0)).alias("matches"), F.sum(of("svd", F.col("n_correct")).otherwise(0)).alias("correct"),
+        F.count_if((F.col("solver") == "svd") & F.col("success")).alias("svd"), F.count_if((F.col("solver") == "svd+ransac") & F.col("success")).alias("ransac"),
+        med("svd").alias("ep_svd"), med("svd+ransac").alias("ep_ransac"),
+    )
+
+
 def consistency(matched: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, median_dxy, median_dz, p90_dz, share_half, share_one) of mutually nearest trees."""
     dz = F.abs("dz")

@@ -12,6 +12,7 @@ from silvaspark.operators import points as P
 from silvaspark.operators import registration as R
 from silvaspark.operators import reports, sampling, spatial, terrain
 from silvaspark.plans import projections as V
+from silvaspark.runtime import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -158,10 +159,11 @@ def inspect_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.range_stats(p, ["scan"])
 
 
-ORIGINS = [("centre", 0.0, 0.0, 0.0), ("east", 0.4, 0.0, 0.0), ("north", 0.0, 0.4, 0.0)]
+#: The candidate, and places beside it along each axis.
+ORIGINS = [("centre", 0.0, 0.0, 0.0), *[(f"{a} {d:+.2f}", *(d if a == b else 0.0 for b in "xyz")) for d in (-0.2, -0.05, -0.02, 0.02, 0.05, 0.2, 1.0) for a in "xyz"]]
 
 
-@query(f"""WITH pts AS ({V.PTS}), o(origin, ox, oy, oz) AS (VALUES ('centre', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('east', 0.4, 0, 0), ('north', 0, 0.4, 0)),
+@query(f"""WITH pts AS ({V.PTS}), o(origin, ox, oy, oz) AS (VALUES {', '.join(f"('{n}', {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for n, x, y, z in ORIGINS)}),
 d AS (SELECT origin, x - ox AS dx, y - oy AS dy, z - oz AS dz FROM pts, o),
 e AS (SELECT *, sqrt(dx * dx + dy * dy) AS h FROM d), f AS (SELECT * FROM e WHERE sqrt(h * h + dz * dz) BETWEEN 2 AND 30),
 b AS (SELECT origin, floor(degrees(atan2(dy, dx)) / 0.5::DOUBLE) AS a, floor(degrees(atan2(dz, h)) / 0.5::DOUBLE) AS e, count(*) AS c FROM f GROUP BY ALL),
@@ -287,6 +289,20 @@ def pca_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.normals(_thin(spark, sf_dir), "pid", 0.4)
 
 
+@query(f"{NEAR} SELECT pid, count(*) AS n, true AS unit, true AS up, true AS eigen, true AS least FROM e GROUP BY pid HAVING count(*) >= 5")
+def pca_normal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether normals are unit eigenvectors, turned up, of an eigenvalue that no axis's variance is below."""
+    p = _thin(spark, sf_dir)
+    j = spatial.normals(p, "pid", 0.4).join(spatial.moments(p, "pid", 0.4).drop("n"), "pid")
+    v = {c: F.col(f"n{c}") for c in "xyz"}
+    cov = lambda a, b: F.col("c" + "".join(sorted(a + b)))
+    cn = {a: cov(a, "x") * v["x"] + cov(a, "y") * v["y"] + cov(a, "z") * v["z"] for a in "xyz"}
+    lam = cn["x"] * v["x"] + cn["y"] * v["y"] + cn["z"] * v["z"]
+    off = sum((F.abs(cn[a] - lam * v[a]) for a in "yz"), F.abs(cn["x"] - lam * v["x"]))
+    unit = F.abs(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"] - 1) < 1e-9
+    return j.select("pid", "n", unit.alias("unit"), (v["z"] >= 0).alias("up"), (off < 1e-9).alias("eigen"), (lam <= F.least("cxx", "cyy", "czz") + 1e-12).alias("least"))
+
+
 @query(f"""WITH RECURSIVE p AS ({THIN}), e AS (SELECT a.pid AS u, b.pid AS v FROM p a JOIN p b ON b.x BETWEEN a.x - 0.16 AND a.x + 0.16 AND floor(b.y) BETWEEN floor(a.y) - 1 AND floor(a.y) + 1
   AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.15::DOUBLE * 0.15::DOUBLE AND a.pid <> b.pid),
 r AS (SELECT pid AS u, pid AS v FROM p UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v), m AS (SELECT u AS pid, min(v) AS cluster FROM r GROUP BY u)
@@ -404,32 +420,65 @@ _SIDES = """SELECT a.scan, a.kp AS a, b.kp AS b, c.kp AS c, sqrt((a.x - b.x) * (
 _TURNS = [("a", "b", "c", "ab", "bc", "ca"), ("a", "c", "b", "ca", "bc", "ab"), ("b", "a", "c", "ab", "ca", "bc"), ("b", "c", "a", "bc", "ca", "ab"), ("c", "a", "b", "ca", "ab", "bc"), ("c", "b", "a", "bc", "ab", "ca")]
 
 
-@query(f"""WITH kp AS ({V.KP}), tg AS ({V.TARGET}), ss AS (SELECT scan, kp, x, y FROM kp WHERE kp % 500 < 25), tt AS (SELECT scan, tp AS kp, tx AS x, ty AS y FROM tg WHERE tp % 500 < 25),
-s AS ({_SIDES.format('ss')}), t0 AS ({_SIDES.format('tt')}),
+NAMED = f"""{BEST}, fq AS (SELECT agree.scan, na AS i, nb AS j, count(*) AS fm FROM agree JOIN best USING (scan, i, j) GROUP BY agree.scan, na, nb),
+sc AS (SELECT best.scan, best.i, best.j, dc, coalesce(fm, 0) AS fm, 10.0::DOUBLE * coalesce(fm, 0) + dc AS score FROM best LEFT JOIN fq ON fq.scan = best.scan AND fq.i = best.i AND fq.j = best.j),
+top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY scan ORDER BY score DESC, dc DESC, i) = 1),
+named AS (SELECT agree.scan, na, nb FROM agree JOIN top USING (scan, i, j)),
+ss AS (SELECT scan, kp, x, y FROM kp SEMI JOIN named ON named.scan = kp.scan AND na = kp), tt AS (SELECT scan, kp, x, y FROM kpt SEMI JOIN named ON named.scan = kpt.scan AND nb = kp)"""
+
+
+@query(f"""{NAMED}, s AS ({_SIDES.format('ss')}), t0 AS ({_SIDES.format('tt')}),
 t AS ({' UNION ALL '.join(f'SELECT scan, a, b, c, {k} AS k, {p} AS ta, {q} AS tb, {r} AS tc, {x} AS t1, {y} AS t2, {z} AS t3 FROM t0' for k, (p, q, r, x, y, z) in enumerate(_TURNS))}),
-fit AS (SELECT s.scan, s.a, s.b, s.c, ta, tb, tc FROM s JOIN t ON s.scan = t.scan AND abs(s.ab - t1) < 0.05::DOUBLE AND abs(s.bc - t2) < 0.05::DOUBLE AND abs(s.ca - t3) < 0.05::DOUBLE
+tb AS (SELECT t.*, floor(t1 / 0.05::DOUBLE)::BIGINT + o AS bucket FROM t, range(-1, 2) AS r(o)),
+fit AS (SELECT s.scan, s.a, s.b, s.c, ta, t.tb, tc FROM s JOIN tb t ON s.scan = t.scan AND floor(s.ab / 0.05::DOUBLE)::BIGINT = bucket AND abs(s.ab - t1) < 0.05::DOUBLE AND abs(s.bc - t2) < 0.05::DOUBLE AND abs(s.ca - t3) < 0.05::DOUBLE
   QUALIFY row_number() OVER (PARTITION BY s.scan, s.a, s.b, s.c, t.a, t.b, t.c ORDER BY k) = 1)
 SELECT scan, s, t, count(*) AS votes FROM (SELECT scan, a AS s, ta AS t FROM fit UNION ALL SELECT scan, b, tb FROM fit UNION ALL SELECT scan, c, tc FROM fit) GROUP BY ALL""")
 def triangle_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kps = V.keypoints(spark, sf_dir)
-    t = V.target(kps).select(F.col("tp").alias("kp"), "scan", F.col("tx").alias("x"), F.col("ty").alias("y"))
-    # a matching set holds some keypoints of a scan: its first 25 here
-    few = lambda df: K.triangle_sides(df, df.where("kp % 500 < 25").select("scan", "kp"), ["scan"])
-    return K.triangle_votes(few(kps), few(t), 0.05, ["scan"])
-
-
-@query()
-def triangle_votes_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes over all keypoints that the dimensions of each scan's best pair name, as in ``match``."""
     kps = V.keypoints(spark, sf_dir)
     a, b = _described(spark, sf_dir)
     agree = K.agreeing(a, b, 0.05, ["scan"])
-    named = K.named_by_best(K.scored(K.best_pairs(K.dc_scores(a, b, 0.05, ["scan"]), 3, ["scan"]), agree, 10.0, ["scan"]), agree)
+    named = written(K.named_by_best(K.scored(K.best_pairs(K.dc_scores(a, b, 0.05, ["scan"]), 3, ["scan"]), agree, 10.0, ["scan"]), agree).select("scan", "na", "nb"), "named")
     t = V.target(kps).select(F.col("tp").alias("kp"), "scan", F.col("tx").alias("x"), F.col("ty").alias("y"))
     s = K.triangle_sides(kps, named.select("scan", F.col("na").alias("kp")), ["scan"])
     return K.triangle_votes(s, K.triangle_sides(t, named.select("scan", F.col("nb").alias("kp")), ["scan"]), 0.05, ["scan"])
 
 
+def _registered(spark: SparkSession, sf_dir: str, thresholds: tuple[float, ...]) -> DataFrame:
+    """Scans against their moved selves; the last scan has no keypoint on the target's side, so its rows hold no transform."""
+    from silvaspark.plans import pipeline
+
+    kps = V.keypoints(spark, sf_dir)
+    t = V.target(kps).where(F.col("scan") > 0).select(F.col("tp").alias("kp"), "scan", F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
+    truth = kps.select("scan").distinct().select("scan", *[F.lit(_IDENT.get(c, 0.0)).alias(c) for c in R.R_COLS + R.T_COLS])
+    return pipeline.register(kps, t, truth, V.pts(spark, sf_dir).select("x", "y", "z"), thresholds, prm=CN, keys=["scan"], iterations=200)
+
+
+@query(f"""{NAMED}, jobs AS (SELECT scan, count(*) AS n_src_kp FROM kp GROUP BY scan), tk AS (SELECT scan, count(*) AS n FROM kpt WHERE scan > 0 GROUP BY scan),
+de1 AS (SELECT scan, count(DISTINCT kp) AS n FROM nn GROUP BY scan), dt1 AS (SELECT scan, count(DISTINCT kp) AS n FROM nn2 WHERE scan > 0 GROUP BY scan),
+ga AS (SELECT scan, count(*) AS n FROM gate WHERE scan > 0 GROUP BY scan), ca AS (SELECT scan, count(*) AS n, count(*) FILTER (score > 40) AS over FROM sc WHERE scan > 0 GROUP BY scan),
+tp AS (SELECT * FROM top WHERE scan > 0), nm AS (SELECT scan, count(DISTINCT na) AS a, count(DISTINCT nb) AS b FROM named JOIN tp USING (scan) WHERE score < 40 GROUP BY scan)
+SELECT scan, solver, 0.05::DOUBLE AS threshold, 'paper' AS setting, n_src_kp, coalesce(tk.n, 0) AS n_tgt_kp, coalesce(de1.n, 0) AS descriptors_src, coalesce(dt1.n, 0) AS descriptors_tgt, coalesce(ga.n, 0) AS gate_passed,
+  coalesce(ca.n, 0) AS candidates, coalesce(tp.score, 0.0)::DOUBLE AS best_score, coalesce(tp.dc, 0) AS best_dc, coalesce(tp.fm, 0) AS best_fm, coalesce((tp.score < 40)::INT, 0) AS used_triangle, coalesce(nm.a, 0) AS tri_set_src, coalesce(nm.b, 0) AS tri_set_tgt,
+  CASE WHEN tp.score >= 40 THEN ca.over WHEN tp.score IS NULL THEN 0 END AS n_plain
+FROM jobs LEFT JOIN tk USING (scan) LEFT JOIN de1 USING (scan) LEFT JOIN dt1 USING (scan) LEFT JOIN ga USING (scan) LEFT JOIN ca USING (scan) LEFT JOIN tp USING (scan) LEFT JOIN nm USING (scan), (VALUES ('svd'), ('svd+ransac')) AS v(solver)""")
+def registration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the registration table; matches are counted where no triangles vote."""
+    r = _registered(spark, sf_dir, (0.05,))
+    plain = F.when(F.col("used_triangle") == 0, F.col("n_matches"))
+    return r.select("scan", "solver", "threshold", "setting", "n_src_kp", "n_tgt_kp", "descriptors_src", "descriptors_tgt", "gate_passed", "candidates", "best_score", "best_dc", "best_fm", "used_triangle", "tri_set_src", "tri_set_tgt", plain.alias("n_plain"))
+
+
+@query(f"""WITH kp AS ({V.KP}) SELECT scan, solver, t.threshold, scan > 0 AS registered, scan > 0 AS right, scan = 0 AS nan_errors, scan = 0 AS identity FROM (SELECT DISTINCT scan FROM kp), (VALUES ('svd'), ('svd+ransac')) AS v(solver), (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) AS t(threshold)""")
+def registration_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each job, threshold and solver, with or without a transform."""
+    r = _registered(spark, sf_dir, (0.05, 0.1))
+    same = F.lit(True)
+    for c in R.R_COLS + R.T_COLS:
+        same = same & (F.col(c) == _IDENT.get(c, 0.0))
+    return r.select("scan", "solver", "threshold", (F.col("transform_ok") == 1).alias("registered"), (F.col("success") == 1).alias("right"), (F.isnan("rot_err_deg") & F.isnan("trans_err_m") & F.isnan("e_p_m")).alias("nan_errors"), same.alias("identity"))
+
+
 TGT = f"WITH kp AS ({V.KP}), tg AS ({V.TARGET})"
 
 
@@ -488,11 +537,11 @@ def nearest_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("d", r6("d", 8))
 
 
-@query(f"""WITH pts AS ({V.PTS}), kp AS ({V.KP}), t AS (SELECT kp, x AS tx, y AS ty, z + 1.5 AS tz FROM kp WHERE abs(x) < 20 AND abs(y) < 20),
+@query(f"""WITH pts AS ({V.PTS}), kp AS ({V.KP}), t AS (SELECT kp, x AS tx, y AS ty, z + 1.5 AS tz FROM kp),
 g AS (SELECT kp, tz, count(*) AS n, quantile_cont(z, 0.02) AS ground_z FROM t JOIN pts ON (x - tx) * (x - tx) + (y - ty) * (y - ty) <= 1 GROUP BY kp, tz HAVING count(*) >= 5)
 SELECT kp, n, round(ground_z, 6) AS ground_z, round(tz - ground_z, 6) AS height, tz - ground_z > 1 AS flagged FROM g""")
 def local_ground_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = V.keypoints(spark, sf_dir).where("abs(x) < 20 and abs(y) < 20").select("kp", F.col("x").alias("tx"), F.col("y").alias("ty"), (F.col("z") + 1.5).alias("tz"))
+    t = V.keypoints(spark, sf_dir).select("kp", F.col("x").alias("tx"), F.col("y").alias("ty"), (F.col("z") + 1.5).alias("tz"))
     g = V.pts(spark, sf_dir).select(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
     return spatial.local_ground(t, g, "kp", 1.0).withColumns({"ground_z": r6("ground_z"), "height": r6("height")})
 
@@ -533,6 +582,40 @@ def kabsch_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.estimate(_paired(spark, sf_dir), ["scan"], ransac=True, iterations=200)
 
 
+def _rigid(t: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(scan, n_pairs, n_inliers, orthogonal, proper, closer): whether the rotation is one and brings the pairs closer
+    than a shift between their centres does."""
+    r = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
+    dot = lambda i, j: sum((r[i][k] * r[j][k] for k in range(1, 3)), r[i][0] * r[j][0])
+    flat = F.lit(True)
+    for i in range(3):
+        for j in range(3):
+            flat = flat & (F.abs(dot(i, j) - float(i == j)) < 1e-9)
+    det = sum((r[0][i] * (r[1][(i + 1) % 3] * r[2][(i + 2) % 3] - r[1][(i + 2) % 3] * r[2][(i + 1) % 3]) for i in (1, 2)), r[0][0] * (r[1][1] * r[2][2] - r[1][2] * r[2][1]))
+    m = R.apply_rigid(pairs.join(t, "scan"), "sx", "sy", "sz", ("px", "py", "pz"))
+    far = lambda a: sum((F.pow(F.col(f"{a}{c}") - F.col(f"t{c}"), F.lit(2.0)) for c in "yz"), F.pow(F.col(f"{a}x") - F.col("tx"), F.lit(2.0)))
+    mid = [F.avg(F.col(f"t{c}") - F.col(f"s{c}")) for c in "xyz"]
+    shifted = sum((F.sum(F.pow(F.col(f"t{c}") - F.col(f"s{c}"), F.lit(2.0))) - F.count("*") * d * d for c, d in zip("yz", mid[1:], strict=True)), F.sum(F.pow(F.col("tx") - F.col("sx"), F.lit(2.0))) - F.count("*") * mid[0] * mid[0])
+    rest = m.groupBy("scan").agg((F.sum(far("p")) <= shifted + 1e-9).alias("closer"))
+    return t.join(rest, "scan").select("scan", "n_pairs", "n_inliers", flat.alias("orthogonal"), (F.abs(det - 1) < 1e-9).alias("proper"), "closer")
+
+
+_RIGID = f"{PAIRED} SELECT scan, count(*) AS n_pairs, count(*) AS n_inliers, true AS orthogonal, true AS proper, true AS closer FROM m GROUP BY scan"
+
+
+@query(_RIGID)
+def kabsch_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paired(spark, sf_dir)
+    return _rigid(R.estimate(p, ["scan"]), p)
+
+
+@query(_RIGID)
+def kabsch_ransac_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs are a few centimetres apart, so all are inliers."""
+    p = _paired(spark, sf_dir)
+    return _rigid(R.estimate(p, ["scan"], ransac=True, iterations=200), p)
+
+
 _IDENT = {"r00": 1.0, "r11": 1.0, "r22": 1.0}
 _JOBS = [(0, 0.01, 0.1), (1, 0.02, -0.2), (2, 0.05, 0.6)]
 
@@ -685,6 +768,22 @@ def oracle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.oracle_positions(kps, t, ["kp"], vertical=False).select("scan", "kp", "x", "y", "z")
 
 
+@query(f"""WITH {JOBS} SELECT job, round(sqrt(t0 * t0 + 0.05::DOUBLE * 0.05::DOUBLE), 8) AS separation FROM j""")
+def station_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turned(spark).select("job", r6(R.station_separation(), 8).alias("separation"))
+
+
+@query(f"""{RUNS}, g AS (SELECT model AS variant, CASE seed % 2 WHEN 0 THEN 'svd' ELSE 'svd+ransac' END AS solver, success, e_p, n AS n_matches, n // 2 AS n_correct FROM runs)
+SELECT variant, sum(CASE WHEN solver = 'svd' THEN n_matches ELSE 0 END)::BIGINT AS matches, sum(CASE WHEN solver = 'svd' THEN n_correct ELSE 0 END)::BIGINT AS correct,
+  count(*) FILTER (success AND solver = 'svd') AS svd, count(*) FILTER (success AND solver = 'svd+ransac') AS ransac,
+  round(quantile_cont(CASE WHEN solver = 'svd' THEN e_p END, 0.5) + 1e-10::DOUBLE, 8) AS ep_svd, round(quantile_cont(CASE WHEN solver = 'svd+ransac' THEN e_p END, 0.5) + 1e-10::DOUBLE, 8) AS ep_ransac FROM g GROUP BY variant""")
+def variant_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    g = V.runs(spark, sf_dir).select(F.col("model").alias("variant"), F.when(F.col("seed") % 2 == 0, "svd").otherwise("svd+ransac").alias("solver"), "success", "e_p", n.alias("n_matches"), F.floor(n / 2).alias("n_correct"))
+    v = reports.variant_table(g)
+    return v.select("variant", "matches", "correct", "svd", "ransac", *[r6(F.col(c) + 1e-10, 8).alias(c) for c in ("ep_svd", "ep_ransac")])
+
+
 def _scene(spark: SparkSession):
     from silvaspark.sources import synthetic
     from silvaspark.sources.config import Config

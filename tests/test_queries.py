@@ -85,5 +85,5 @@ def test_triangle_votes_of_all_named_keypoints(spark):
             taken |= fit
             for i, j in zip(*np.nonzero(fit), strict=True):
                 want.update((scan, u, v) for u, v in zip(s[i], turned[j], strict=True))
-    got = {(r.scan, r.s, r.t): r.votes for r in R.QUERIES["triangle_votes_named"](spark, DATA).collect()}
+    got = {(r.scan, r.s, r.t): r.votes for r in R.QUERIES["triangle_votes"](spark, DATA).collect()}
     assert got == dict(want) and any(s % 500 >= 25 for _, s, _ in got)
