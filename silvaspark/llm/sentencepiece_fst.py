@@ -157,7 +157,7 @@ class Transducer:
     """The compiled transducers of a model; encodes and decodes."""
 
     #: Bytes of inputs and outputs that each table of remembered paths and arcs may hold, about.
-    limit = 160 << 20
+    limit = 40 << 20
 
     def __init__(self, data: bytes):
         m = self.model = Model(data)
@@ -168,7 +168,9 @@ class Transducer:
         self.byte = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == BYTE}
         self.penalty = 10.0 - min((s for s, t in zip(m.scores, m.types, strict=True) if t == NORMAL), default=0.0)
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece)
+        #: paths by input; what is not asked for while one table fills is forgotten with the one before it
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], float] = {}
         self.held = [0, 0]
         #: neighbours that some piece holds; between others no piece and no merge can reach
@@ -264,13 +266,13 @@ class Transducer:
     def _remember(self, s: str, got: bytes) -> None:
         self.held[1] += len(got) + 2 * len(s) + 150
         if self.held[1] > self.limit:
-            self.memo.clear()
+            self.before, self.memo = self.memo, {}
             self.held[1] = 0
         self.memo[s] = got
 
     def chunk(self, s: str) -> bytes:
         """Ids (int32, little endian) of a stretch between cuts."""
-        got = self.memo.get(s)
+        got = self._known(s)
         if got is None:
             cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.inner]
             if cuts:
@@ -280,8 +282,16 @@ class Transducer:
                 got = self._ids(s)
         return got
 
-    def _ids(self, s: str) -> bytes:
+    def _known(self, s: str) -> bytes | None:
         got = self.memo.get(s)
+        if got is None:
+            got = self.before.get(s)
+            if got is not None:
+                self._remember(s, got)
+        return got
+
+    def _ids(self, s: str) -> bytes:
+        got = self._known(s)
         if got is None:
             ids = []
             for a, b, i in self.path(s):
@@ -299,7 +309,6 @@ class Transducer:
             return self.chunk(s)
         parts = s.split(SPACE)
         out = []
-        memo = self.memo
         if parts[0]:
             out.append(self.chunk(parts[0]))
         lead = 0
@@ -307,7 +316,7 @@ class Transducer:
             lead += 1
             if p:
                 c = SPACE * lead + p
-                got = memo.get(c)
+                got = self.memo.get(c)
                 out.append(self.chunk(c) if got is None else got)
                 lead = 0
         if lead:

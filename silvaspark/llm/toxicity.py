@@ -28,6 +28,8 @@ from silvaspark.llm import words as W
 
 SEGMENT = 128
 FLOOR = 0.05
+#: Texts whose tokens a task holds at once.
+AT_ONCE = 300
 #: Words before and after a marked token that go into a training sequence.
 AROUND = 12
 _edge = re.compile(r"^\W+|\W+$")
@@ -71,7 +73,7 @@ class Crf:
 class Emissions(dict):
     """exp(emission) by raw token; remembers a bounded number of tokens."""
 
-    limit = 600_000
+    limit = 200_000
 
     def __init__(self, crf: Crf):
         super().__init__()
@@ -354,8 +356,8 @@ def score(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text",
         for b in batches:
             texts = b.column(b.num_columns - 1)
             scores, spans = [], []
-            for k in range(0, len(texts), 2000):
-                x, y = score_texts(texts.slice(k, 2000).to_pylist(), sent.value, cache)
+            for k in range(0, len(texts), AT_ONCE):
+                x, y = score_texts(texts.slice(k, AT_ONCE).to_pylist(), sent.value, cache)
                 scores += x
                 spans += y
             said = [int(is_toxic(s, sent.value, threshold)) for s in scores]
@@ -380,8 +382,8 @@ def drop_toxic(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "t
         cache = Emissions(sent.value)
         for b in batches:
             keep = []
-            for k in range(0, b.num_rows, 2000):
-                keep += [not is_toxic(s, sent.value, threshold) for s in score_texts(b.column(at).slice(k, 2000).to_pylist(), sent.value, cache)[0]]
+            for k in range(0, b.num_rows, AT_ONCE):
+                keep += [not is_toxic(s, sent.value, threshold) for s in score_texts(b.column(at).slice(k, AT_ONCE).to_pylist(), sent.value, cache)[0]]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
