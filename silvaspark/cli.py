@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from silvaspark.functions.retention import KINDS
 from silvaspark.operators import points as P
+from silvaspark.operators import reports
+from silvaspark.operators.keypoints import Params
+from silvaspark.operators.points import ORIGINS
 from silvaspark.plans import pipeline
+from silvaspark.runtime import written
 from silvaspark.sources import points as S
 from silvaspark.sources import synthetic, tables
 from silvaspark.sources.config import Config
@@ -29,12 +33,23 @@ def _save(df, out: str, name: str) -> None:
     tables.write_csv(df, os.path.join(out, name))
 
 
+def _say(spark: SparkSession, text: str, out: str, name: str) -> None:
+    """Show a text and keep it beside the results."""
+    print(text)
+    tables.write_text(spark, text, os.path.join(out, name))
+
+
 def extract(spark: SparkSession, a, cfg: Config) -> None:
     cloud, skipped = S.read_points(spark, a.input)
     trees, fits = pipeline.extract(cloud, cfg, a.seed)
     _save(trees, a.out, "trees")
     _save(tables.clusters_table(fits), a.out, "clusters")
     _save(skipped, a.out, "skipped")
+    r = reports.success_rate(fits, []).first()
+    fails = fits.groupBy("status").agg(F.count("*").alias("n")).orderBy("status").collect()
+    lines = [f"seed: {a.seed}", f"clusters: {r['clusters'] if r else 0}", f"trees: {r['trees'] if r else 0}", *[f"{f['status']}: {f['n']}" for f in fails]]
+    _say(spark, "\n".join(lines), a.out, "run_log")
+    tables.write_text(spark, cfg.dump(), os.path.join(a.out, "config"))
 
 
 def compare(spark: SparkSession, a, cfg: Config) -> None:
@@ -44,7 +59,21 @@ def compare(spark: SparkSession, a, cfg: Config) -> None:
     refs = S.reference_positions(spark, a.ref) if a.ref else None
     if refs is not None:
         refs = refs.select((F.col("x") - s.x0).alias("x"), (F.col("y") - s.y0).alias("y"))
-    _save(pipeline.experiment(vert, planes, refs, cfg), a.out, "summary")
+    got = pipeline.experiment_tables(vert, planes, refs, cfg)
+    _save(got["runs"], a.out, "runs")
+    _save(got["bins"], a.out, "retention_bins")
+    o = (s.x0, s.y0, s.z0)
+    at = [(F.col(f"p{c}") + F.lit(v)).alias(c) for c, v in zip("xyz", o, strict=True)]
+    _save(got["fits"].where("fail = 0").select("label", "seed", F.col("cluster").alias("cluster_id"), *at, "radius", "tilt_deg", "n_points", "n_inliers"), a.out, "trees")
+    text = []
+    for profile in sorted(r["profile"] for r in got["summary"].select("profile").distinct().collect()):
+        stats = got["summary"].where(F.col("profile") == profile)
+        labels = sorted(r["label"] for r in stats.select("label").distinct().collect())
+        table = reports.summary_table(stats, labels)
+        _save(table, a.out, f"summary_{profile}")
+        text += [f"### {profile}", "", reports.summary_markdown(table, labels), ""]
+    _say(spark, "\n".join(text), a.out, "summary_markdown")
+    tables.write_text(spark, cfg.dump(), os.path.join(a.out, "config"))
 
 
 def register(spark: SparkSession, a, cfg: Config) -> None:
@@ -54,21 +83,23 @@ def register(spark: SparkSession, a, cfg: Config) -> None:
         src = tgt = gt = None
         for k, j in enumerate(x for x in jobs if x.cloud == cloud):
             name = F.lit(j.label or str(k)).alias("job")
-            kp = lambda path: tables.read_trees(spark, path).select(name, F.monotonically_increasing_id().alias("kp"), "x", "y", "z")  # noqa: B023, E731
+            # numbered where they are written, so that a second reading gives the same numbers
+            kp = lambda path: written(tables.read_trees(spark, path).select(name, F.monotonically_increasing_id().alias("kp"), "x", "y", "z"), "trees")  # noqa: B023, E731
             part = kp(j.src_trees), kp(j.tgt_trees), tables.read_transform(spark, j.gt).drop("file").select(name, "*")
             src, tgt, gt = part if src is None else (src.unionAll(part[0]), tgt.unionAll(part[1]), gt.unionAll(part[2]))
         points, _ = S.read_points(spark, cloud)
-        rows = pipeline.register(src, tgt, gt, points, tuple(float(t) for t in a.thresholds.split(",")), a.merge_radius, a.gt_match)
-        _save(rows, a.out, os.path.basename(cloud) + ".registration")
+        rows = pipeline.register(src, tgt, gt, points, tuple(float(t) for t in a.thresholds.split(",")), a.merge_radius, a.gt_match, Params(n=a.N, w=a.w, th_score=a.th_score, min_dc=a.min_dc), None, a.ransac_iters, a.ransac_inlier, a.ransac_seed)
+        _save(rows.withColumnRenamed("job", "label"), a.out, os.path.basename(cloud) + ".registration")
 
 
 def inspect(spark: SparkSession, a, cfg: Config) -> None:
     cloud, skipped = S.read_points(spark, a.input)
     o = [float(x) for x in a.origin.split(",")]
-    p = cloud.where(F.col("pid") % a.stride == 0).select(*[(F.col(c) - v).alias(c) for c, v in zip("xyz", o, strict=True)])
+    p = cloud.where(F.pmod("pid", F.lit(a.stride)) == 0).select(*[(F.col(c) - v).alias(c) for c, v in zip("xyz", o, strict=True)])
     p = p.withColumn("r", F.round(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), 3))
     P.range_stats(p, []).show(truncate=False)
-    around = [("centre", 0.0, 0.0, 0.0)] + [(f"{n}{d:g}", *(d * v for v in u)) for d in (0.5, 1.0) for n, u in (("x+", (1, 0, 0)), ("x-", (-1, 0, 0)), ("y+", (0, 1, 0)), ("y-", (0, -1, 0)), ("z+", (0, 0, 1)), ("z-", (0, 0, -1)))]
+    centre = cloud.agg(*[F.avg(c).alias(c) for c in "xyz"]).first()
+    around = [*ORIGINS, ("centroid", *(centre[c] - v for c, v in zip("xyz", o, strict=True)))]
     P.lattice_score(p, spark.createDataFrame(around, "origin string, ox double, oy double, oz double"), a.bin_deg).orderBy(F.desc("score")).show(50, truncate=False)
     skipped.show(truncate=False)
 
@@ -86,7 +117,7 @@ def main(argv: list[str] | None = None) -> None:
     for name, args in {
         "extract": [("--input", {"required": True}), ("--out", {"required": True}), ("--version", {"choices": KINDS}), ("--seed", {"type": int, "default": 1})],
         "compare": [("--input", {"required": True}), ("--out", {"required": True}), ("--ref", {})],
-        "register": [("--src_trees", {}), ("--tgt_trees", {}), ("--src_cloud", {}), ("--gt", {}), ("--label", {"default": ""}), ("--batch", {}), ("--out", {"required": True}), ("--thresholds", {"default": "0.05"}), ("--merge_radius", {"type": float, "default": 0.0}), ("--gt_match", {"type": float, "default": 0.3})],
+        "register": [("--src_trees", {}), ("--tgt_trees", {}), ("--src_cloud", {}), ("--gt", {}), ("--label", {"default": ""}), ("--batch", {}), ("--out", {"required": True}), ("--thresholds", {"default": "0.05"}), ("--merge_radius", {"type": float, "default": 0.0}), ("--gt_match", {"type": float, "default": 0.3}), ("--N", {"type": int, "default": 183}), ("--w", {"type": float, "default": 10.0}), ("--th_score", {"type": float, "default": 40.0}), ("--min_dc", {"type": int, "default": 3}), ("--ransac_iters", {"type": int, "default": 1000}), ("--ransac_inlier", {"type": float, "default": 0.3}), ("--ransac_seed", {"type": int, "default": 1})],
         "inspect": [("--input", {"required": True}), ("--origin", {"default": "0,0,0"}), ("--stride", {"type": int, "default": 10}), ("--bin_deg", {"type": float, "default": 0.002})],
         "synth": [("--out", {"required": True}), ("--truth", {}), ("--offset", {"default": "0,0,0"}), ("--seed", {"type": int, "default": 42})],
     }.items():

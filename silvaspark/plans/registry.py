@@ -159,18 +159,14 @@ def inspect_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.range_stats(p, ["scan"])
 
 
-#: The candidate, and places beside it along each axis.
-ORIGINS = [("centre", 0.0, 0.0, 0.0), *[(f"{a} {d:+.2f}", *(d if a == b else 0.0 for b in "xyz")) for d in (-0.2, -0.05, -0.02, 0.02, 0.05, 0.2, 1.0) for a in "xyz"]]
-
-
-@query(f"""WITH pts AS ({V.PTS}), o(origin, ox, oy, oz) AS (VALUES {', '.join(f"('{n}', {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for n, x, y, z in ORIGINS)}),
+@query(f"""WITH pts AS ({V.PTS}), o(origin, ox, oy, oz) AS (VALUES {', '.join(f"('{n}', {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for n, x, y, z in P.ORIGINS)}),
 d AS (SELECT origin, x - ox AS dx, y - oy AS dy, z - oz AS dz FROM pts, o),
 e AS (SELECT *, sqrt(dx * dx + dy * dy) AS h FROM d), f AS (SELECT * FROM e WHERE sqrt(h * h + dz * dz) BETWEEN 2 AND 30),
 b AS (SELECT origin, floor(degrees(atan2(dy, dx)) / 0.5::DOUBLE) AS a, floor(degrees(atan2(dz, h)) / 0.5::DOUBLE) AS e, count(*) AS c FROM f GROUP BY ALL),
 k AS (SELECT origin, c, row_number() OVER (PARTITION BY origin ORDER BY c DESC) AS r, count(*) OVER (PARTITION BY origin) AS occupied FROM b)
 SELECT origin, sum(c)::BIGINT AS n, max(occupied)::BIGINT AS occupied, round(sum(CASE WHEN r <= greatest(1, floor(0.1::DOUBLE * occupied)) THEN c ELSE 0 END)::DOUBLE / sum(c), 6) AS score FROM k GROUP BY origin""")
 def lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.createDataFrame(ORIGINS, "origin string, ox double, oy double, oz double")
+    o = spark.createDataFrame(P.ORIGINS, "origin string, ox double, oy double, oz double")
     return P.lattice_score(V.pts(spark, sf_dir), o, bin_deg=0.5).withColumn("score", r6("score"))
 
 

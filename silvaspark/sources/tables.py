@@ -81,6 +81,11 @@ def bins_table(bins: DataFrame) -> DataFrame:
     return bins.withColumnRenamed("mean_p", "mean_P").select(*BIN_COLUMNS)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A text as a folder of one file, on any file system."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; results keep the partitions of their query."""
     df.write.mode("overwrite").csv(path, header=True)
