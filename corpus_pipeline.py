@@ -9,29 +9,44 @@ from silvaspark.llm import decontamination, jaccard_join, language_id, line_dedu
 from silvaspark.runtime import table, written
 
 
+#: Rows of an Arrow batch: whole texts travel in them, and some are long.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go. The tagger learns from the labelled documents."""
+    small_batches(spark)
     crf = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_on=~language_id.held_out(F.col("id")))
     return toxicity.drop_toxic(docs, crf)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; every document stays."""
+    small_batches(spark)
     return line_dedup.drop_repeated_lines(docs, n_chars="n_chars")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with the proof that they decode to it."""
+    small_batches(spark)
     return sentencepiece_fst.encode_documents(docs.select("doc_id", "lang", "source", "text")).drop("text")
 
 
