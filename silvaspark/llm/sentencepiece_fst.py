@@ -157,7 +157,7 @@ class Transducer:
     """The compiled transducers of a model; encodes and decodes."""
 
     #: Bytes of inputs and outputs that each table of remembered paths and arcs may hold, about.
-    limit = 40 << 20
+    limit = 80 << 20
 
     def __init__(self, data: bytes):
         m = self.model = Model(data)
