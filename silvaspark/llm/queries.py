@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvaspark.llm import decontamination, hamming_search, jaccard_join, language_id, line_dedup, sentencepiece_fst, sharding, substring_dedup, toxicity, warc
+from silvaspark.llm import decontamination, filter_audit, hamming_search, jaccard_join, language_id, line_dedup, sentencepiece_fst, sharding, substring_dedup, toxicity, warc
 from silvaspark.runtime import table
 
 
@@ -64,6 +64,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: SQL that DuckDB runs on the same tables.
@@ -169,5 +174,37 @@ WITH e AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d
 )
 SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [f.f FOR f IN [{'f': 'A', 'x': len(ws) < 100}, {'f': 'B', 'x': 100 * len(list_distinct(ws)) < 80 * len(ws)},
+      {'f': 'C', 'x': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t)}, {'f': 'D', 'x': regexp_matches(t, '[#$%&*|]')},
+      {'f': 'E', 'x': coalesce(w.doc_id > first_id, false)}] IF f.x] AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL
+), o AS (
+  SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(f) WHERE NOT contains(filter_order, f)
+), s AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, n, good, toxic, fails,
+    list_contains(fails, substr(filter_order, step, 1)) AS hit, len(list_intersect(fails, string_split(left(filter_order, step - 1), ''))) > 0 AS gone
+  FROM c, o, range(1, 6) AS r(step) WHERE len(filter_order) = 5
+), g AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN hit AND len(fails) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM g
 """,
 }
