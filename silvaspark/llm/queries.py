@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvaspark.llm import decontamination, filter_audit, hamming_search, jaccard_join, language_id, line_dedup, sentencepiece_fst, sharding, substring_dedup, toxicity, warc
+from silvaspark.llm import decontamination, filter_audit, hamming_search, jaccard_join, language_id, line_dedup, sentencepiece_fst, sharding, substring_dedup, toxicity, url_reputation, warc
 from silvaspark.runtime import table
 
 
@@ -64,6 +64,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+RULES = [
+    url_reputation.Rule("allow", "com"),
+    url_reputation.Rule("block", "example.com", "/en/"),
+    url_reputation.Rule("allow", "www.example.com", "/en/"),
+    url_reputation.Rule("block", "net", "/es/"),
+    url_reputation.Rule("block", "net", "/fr/"),
+]
+
+
+def op11_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +92,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_url_reputation": op11_url_reputation,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -174,6 +188,57 @@ WITH e AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d
 )
 SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10
+""",
+    "op11_url_reputation": r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(h, p, good) AS (
+  VALUES ('com', '/', 1), ('example.com', '/en/', 0), ('www.example.com', '/en/', 1), ('net', '/es/', 0), ('net', '/fr/', 0)
+), f AS (
+  SELECT *, (SELECT max({'n': length(h || p), 'k': length(p), 'b': 1 - good, 'name': h || p}) FROM r
+             WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best FROM u
+), b AS (
+  SELECT DISTINCT host, string_split(regexp_replace(host, ':[0-9]*$|^.*@', '', 'g'), '.') AS l FROM u
+), s AS (
+  SELECT host, l, array_to_string(l, '.') AS bare, CASE WHEN regexp_matches(array_to_string(l, '.'), '^[0-9.]+$|^\[') THEN array_to_string(l, '.')
+    WHEN len(l) > 2 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'or', 'org') THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS suffix FROM b
+), hosts AS (
+  SELECT host, suffix, CASE WHEN length(bare) <= length(suffix) + 1 THEN bare
+      ELSE string_split(left(bare, length(bare) - length(suffix) - 1), '.')[-1] || '.' || suffix END AS domain,
+    count(best) AS n, count(*) FILTER (best.b = 0) AS good
+  FROM f JOIN s USING (host) GROUP BY ALL
+), domains AS (
+  SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL
+), levels AS (
+  SELECT 1 AS level, '' AS parent, good::DOUBLE AS x, n::DOUBLE AS n FROM suffixes UNION ALL
+  SELECT 2, suffix, good, n FROM domains UNION ALL SELECT 3, domain, good, n FROM hosts
+), groups AS (
+  SELECT level, parent, count(*) AS k, sum(x) AS x, sum(n) AS n, sum(x * x / n) AS xx, sum(n * n) AS nn FROM levels WHERE n > 0 GROUP BY ALL
+), moments AS (
+  SELECT level, sum(xx - x * x / n - (k - 1) * (x / n) * (1 - x / n)) AS beyond, sum((x / n) * (1 - x / n) * (n - nn / n - (k - 1))) AS room FROM groups GROUP BY ALL
+), strengths AS (
+  SELECT v.level, round(1 / least(greatest(CASE WHEN room > 0 AND beyond > 0 THEN beyond / room ELSE 0 END, 1 / 1001.0::DOUBLE), 1 / 1.5::DOUBLE) - 1, 6) AS m
+  FROM (VALUES (1), (2), (3)) AS v(level) LEFT JOIN moments USING (level)
+), st AS (
+  SELECT max(m) FILTER (level = 1) AS s1, max(m) FILTER (level = 2) AS s2, max(m) FILTER (level = 3) AS s3 FROM strengths
+), root AS (
+  SELECT (sum(good) + 1)::DOUBLE / (sum(n) + 2) AS m0 FROM suffixes
+), ms AS (
+  SELECT suffix, (s1 * m0 + good) / (s1 + n) AS m1 FROM suffixes, st, root
+), md AS (
+  SELECT suffix, domain, (s2 * m1 + good) / (s2 + n) AS m2 FROM domains JOIN ms USING (suffix), st
+), post AS (
+  SELECT host, s3 * m2 + good AS a, s3 * (1 - m2) + n - good AS b FROM hosts JOIN md USING (suffix, domain), st
+), rep AS (
+  SELECT host, a / (a + b) + 1.64::DOUBLE * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) < 0.5 AS blocked FROM post
+)
+SELECT page_id, host, path, best.name AS rule, CASE WHEN coalesce(best.b = 1, blocked) THEN 'block' ELSE 'allow' END AS verdict
+FROM f JOIN rep USING (host)
 """,
     "op13_filter_audit": r"""
 WITH RECURSIVE d AS (
