@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvaspark.llm import decontamination, filter_audit, hamming_search, jaccard_join, language_id, line_dedup, sentencepiece_fst, sharding, substring_dedup, toxicity, url_reputation, warc
+from silvaspark.llm import decontamination, filter_audit, hamming_search, jaccard_join, language_id, line_dedup, sentencepiece_fst, sharding, source_divergence, substring_dedup, toxicity, url_reputation, warc
 from silvaspark.runtime import table
 
 
@@ -77,6 +77,10 @@ def op11_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_url_reputation": op11_url_reputation,
+    "op12_source_divergence": op12_source_divergence,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -239,6 +244,35 @@ WITH p AS (
 )
 SELECT page_id, host, path, best.name AS rule, CASE WHEN coalesce(best.b = 1, blocked) THEN 'block' ELSE 'allow' END AS verdict
 FROM f JOIN rep USING (host)
+""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v, sum(n)::BIGINT AS nl FROM kept GROUP BY ALL
+), g AS (
+  SELECT d.lang, d.source, coalesce(any_value(t.n), 0) AS ng FROM (SELECT DISTINCT lang, source FROM d) AS d
+  LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS n FROM c GROUP BY ALL) AS t USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000 * (coalesce(c.n, 0) + 1) // (ng + v))::BIGINT AS p, (1 + 1000000000 * (k.n + 1) // (nl + v))::BIGINT AS q
+  FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM o WHERE part = 'pair' OR rank <= 200
 """,
     "op13_filter_audit": r"""
 WITH RECURSIVE d AS (
