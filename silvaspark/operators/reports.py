@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silvaspark.operators.selection import percentiles
+
 
 def finite(c: Column) -> Column:
     """The value, or null if it is NaN or infinite."""
@@ -69,12 +71,12 @@ def pair_distances(matched: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spread(values: DataFrame, keys: list[str], value: str, limits: tuple[float, ...] = (0.05, 0.1, 0.2)) -> DataFrame:
-    """(keys, n, median, p90, share_k): lower-index percentiles and shares below each limit."""
-    v = values.select(*keys, F.col(value).alias("v"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    r = v.withColumns({"r": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy(*keys))})
-    at = lambda q: F.min(F.when(F.col("r") >= F.floor(F.lit(q) * (F.col("n") - 1)), F.col("v")))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), at(0.5).alias("median"), at(0.9).alias("p90"), *[F.avg((F.col("v") < x).cast("double")).alias(f"share_{k}") for k, x in enumerate(limits)])
+    """(keys, n, median, p90, share_k): lower-index percentiles and shares below each limit. Percentiles of all groups
+    are found by narrowing histograms, so that no group is sorted in one task."""
+    v = values.select(*keys, F.col(value).cast("double").alias("v"))
+    shares = v.groupBy(*keys).agg(*[F.avg((F.col("v") < x).cast("double")).alias(f"share_{k}") for k, x in enumerate(limits)])
+    p = percentiles(v, keys, "v", {"median": 0.5, "p90": 0.9})
+    return p.join(shares, keys) if keys else p.crossJoin(shares)
 
 
 def pair_sets(runs: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,12 +136,15 @@ def variant_table(rows: DataFrame, variant: str = "variant") -> DataFrame:
 
 
 def consistency(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, median_dxy, median_dz, p90_dz, share_half, share_one) of mutually nearest trees."""
+    """(keys, n, median_dxy, median_dz, p90_dz, share_half, share_one) of mutually nearest trees.
+
+    ``n`` counts all rows; medians and the percentile lie between two elements and are those of the rows with a value."""
     dz = F.abs("dz")
-    return matched.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile("dxy", F.lit(0.5)).alias("median_dxy"), F.percentile(dz, F.lit(0.5)).alias("median_dz"), F.percentile(dz, F.lit(0.9)).alias("p90_dz"),
-        F.avg((dz > 0.5).cast("double")).alias("share_half"), F.avg((dz > 1.0).cast("double")).alias("share_one"),
-    )
+    shares = matched.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((dz > 0.5).cast("double")).alias("share_half"), F.avg((dz > 1.0).cast("double")).alias("share_one"))
+    xy = percentiles(matched, keys, "dxy", {"median_dxy": 0.5}, between=True).drop("n")
+    z = percentiles(matched.withColumn("dz", dz), keys, "dz", {"median_dz": 0.5, "p90_dz": 0.9}, between=True).drop("n")
+    out = shares.join(xy, keys, "left").join(z, keys, "left")
+    return out.select(*keys, "n", "median_dxy", "median_dz", "p90_dz", "share_half", "share_one")
 
 
 def next_seed(df: DataFrame, keys: list[str], n_seeds: int, value: str) -> DataFrame:

@@ -95,42 +95,139 @@ def normals(points: DataFrame, pid: str, radius: float = 0.10, keys: list[str] |
     return out.select(*(keys or []), pid, "n", "__e.*")
 
 
+#: Pairs of cells with at most this many pairs of points are decided by their points, others by cells a quarter as wide.
+FEW = 1024
+
+
+def _boxes(points: DataFrame, cols: list[str], by: list[str], *more: Column) -> DataFrame:
+    """One row a cell: its points' number ``n`` and box ``lo0, hi0, ...``, from partial sums."""
+    ends = [f(c).alias(f"{name}{k}") for k, c in enumerate(cols) for name, f in (("lo", F.min), ("hi", F.max))]
+    return points.groupBy(*by).agg(F.count("*").alias("n"), *ends, *more)
+
+
+def _gap(a: str, b: str, dims: int, point: list[str] | None = None) -> Column:
+    """Square of the least distance between two boxes, or of the point ``point`` from box ``b``."""
+    out = None
+    for k in range(dims):
+        lo, hi = (F.col(f"{a}lo{k}"), F.col(f"{a}hi{k}")) if point is None else (F.col(point[k]), F.col(point[k]))
+        d = F.greatest(F.lit(0.0), lo - F.col(f"{b}hi{k}"), F.col(f"{b}lo{k}") - hi)
+        out = d * d if out is None else out + d * d
+    return out
+
+
+def _reach(a: str, b: str, dims: int) -> Column:
+    """Square of the greatest distance between two boxes."""
+    out = None
+    for k in range(dims):
+        d = F.greatest(F.abs(F.col(f"{a}hi{k}") - F.col(f"{b}lo{k}")), F.abs(F.col(f"{b}hi{k}") - F.col(f"{a}lo{k}")))
+        out = d * d if out is None else out + d * d
+    return out
+
+
 def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): sub-cells as nodes (node, pid), and one edge (u, v) for each pair of sub-cells that are joined.
+    """(cells, edges): sub-cells of points (keys, s0, s1, ..., node, n, box), and an edge (u, v) for each pair of sub-cells
+    that are joined.
 
     Points of one sub-cell of side eps/sqrt(dims) are all adjacent, so a sub-cell is one node, named by its
-    smallest pid. Two sub-cells are joined if their least distance is within eps; that is one row for each pair of
-    near sub-cells however many points they hold, since minima are taken before the shuffle.
+    smallest pid. Two sub-cells are joined if their least distance is within eps. The boxes around their points decide
+    that for most pairs: joined if the greatest distance of the boxes is within eps, not joined if the least is beyond.
+    Only pairs between these go on: few points are compared as they are, and only those within eps of the other
+    box; many are cut into cells a quarter as wide, of which again the boxes decide. Points are not joined with points
+    but there, however many share a cell.
     """
-    keys = keys or []
-    side = eps / math.sqrt(len(cols)) * (1 - 1e-9)
-    sub = [f"__s{k}" for k in range(len(cols))]
-    p = points.select(*keys, pid, *cols, *[F.floor(F.col(c) / F.lit(side)).alias(s) for c, s in zip(cols, sub, strict=True)])
-    names = p.groupBy(*keys, *sub).agg(F.min(pid).alias("node"))
-    members = written(p.join(names, [*keys, *sub]).select(*keys, pid, *cols, *sub, "node"), "sub-cells")
-    a = members.select(*keys, *[F.col(c).alias(f"{c}_a") for c in cols], F.col("node").alias("u"))
-    b = members.select(*keys, *[F.col(c).alias(f"{c}_b") for c in cols], F.col("node").alias("v"))
-    near = range_join(a, b, [f"{c}_a" for c in cols], [f"{c}_b" for c in cols], eps, keys, strict).where(F.col("u") < F.col("v"))
-    return members.select(*keys, pid, "node"), near.groupBy("u", "v").agg(F.min("d2").alias("d2")).select("u", "v")
-
-
-def _components(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str], strict: bool = False) -> DataFrame:
-    """(keys, pid, group) of every point: the smallest pid of its component."""
-    members, edges = adjacency(points, pid, cols, eps, keys, strict)
+    keys, dims = keys or [], len(cols)
+    side = eps / math.sqrt(dims) * (1 - 1e-9)
+    sub = [f"s{k}" for k in range(dims)]
+    limit = F.lit(eps * eps)
+    within = (lambda d: d < limit) if strict else (lambda d: d <= limit)
+    p = points.select(*keys, pid, *[F.col(c).cast("double").alias(c) for c in cols])
+    p = p.select("*", *[F.floor(F.col(c) / F.lit(side)).alias(s) for c, s in zip(cols, sub, strict=True)])
+    cells = written(_boxes(p, cols, [*keys, *sub], F.min(pid).alias("node")), "sub-cells")
+
+    # cells meet on a coarser grid: each is at home where its box begins, and goes wherever a near one can be at home
+    wide = 3 * eps
+    box = [f"{e}{k}" for k in range(dims) for e in ("lo", "hi")]
+    home = [F.floor(F.col(f"lo{k}") / wide).alias(f"__h{k}") for k in range(dims)]
+    a = cells.select(*keys, F.col("node").alias("u"), F.col("n").alias("an"), *[F.col(c).alias(f"a{c}") for c in box], *home)
+    b = cells.select(*keys, F.col("node").alias("v"), F.col("n").alias("bn"), *[F.col(c).alias(f"b{c}") for c in box])
+    for k in range(dims):
+        b = b.withColumn(f"__h{k}", F.explode(F.sequence(F.floor((F.col(f"blo{k}") - (eps + side)) / wide), F.floor((F.col(f"bhi{k}") + eps) / wide))))
+    met = a.join(b, [*keys, *[f"__h{k}" for k in range(dims)]]).where("u < v").where(within(_gap("a", "b", dims)))
+    ends = ["an", "bn", *[f"{x}{c}" for x in "ab" for c in box]]
+    sure = within(_reach("a", "b", dims))
+    pairs = written(met.select("u", "v", sure.alias("sure"), *[F.when(~sure, F.col(c)).alias(c) for c in ends], F.monotonically_increasing_id().alias("id")), "cell-pairs")
+    edges = pairs.where("sure").select("u", "v")
+    grid: list[str] = []
+    for level in range(1, 30):
+        left = pairs.where(~F.col("sure"))
+        if level > 1:
+            left = left.join(pairs.where("sure").select("u", "v").distinct(), ["u", "v"], "left_anti")
+        left = written(left.drop("sure"), "open-pairs")
+        few = F.col("an") * F.col("bn") <= FEW
+        n_few, n_many = left.agg(F.count_if(few), F.count_if(~few)).first()
+        # where a pair's cells are: the sub-cell's name and, from the second round on, the finer cell in it
+        cell = {x: [F.col(n).alias("node"), *[F.col(f"{x}{g}").alias(g) for g in grid]] for x, n in (("a", "u"), ("b", "v"))}
+
+        def sent(rows: DataFrame, what: DataFrame, x: str, names: dict[str, str], near: Column) -> DataFrame:
+            """The rows of ``what`` in one side's cells, near the box of the other side."""
+            other = "b" if x == "a" else "a"
+            to = rows.select("id", *cell[x], *[F.col(f"{other}{c}").alias(f"o{c}") for c in box])
+            return to.join(what, ["node", *grid]).where(within(near)).select("id", *[F.col(c).alias(n) for c, n in names.items()])  # noqa: B023
+
+        def named(what: DataFrame, rows: DataFrame) -> DataFrame:
+            """With the sub-cell's name, for sub-cells of ``rows`` only."""
+            used = rows.select(F.col("u").alias("node")).unionAll(rows.select(F.col("v").alias("node"))).distinct()
+            return what.join(cells.select(*keys, *sub, "node").join(used, "node", "left_semi"), [*keys, *sub])
+
+        if n_few:
+            rows = left.where(few)
+            pts = named(p.drop(pid), rows)
+            side_of = lambda x: sent(rows, pts, x, {c: f"{x}{c}" for c in cols}, _gap("", "o", dims, cols))  # noqa: B023, E731
+            d = [F.col(f"a{c}") - F.col(f"b{c}") for c in cols]
+            hit = side_of("a").join(side_of("b"), "id").where(within(sum((x * x for x in d[1:]), d[0] * d[0]))).select("id").distinct()
+            edges = edges.unionAll(written(rows.join(hit, "id", "left_semi").select("u", "v").distinct(), "close-pairs"))
+        if not n_many:
+            break
+        rows = left.where(~few)
+        finer = [f"g{level}_{k}" for k in range(dims)]
+        p = p.select("*", *[F.floor(F.col(c) / F.lit(side / 4**level)).alias(g) for c, g in zip(cols, finer, strict=True)])
+        fine = named(_boxes(p, cols, [*keys, *sub, *grid, *finer]), rows)
+        of = lambda x: sent(rows, fine, x, {c: f"{x}{c}" for c in ("n", *box, *finer)}, _gap("", "o", dims))  # noqa: B023, E731
+        met = of("a").join(of("b"), "id").where(within(_gap("a", "b", dims))).join(rows.select("id", "u", "v"), "id").drop("id")
+        pairs = written(met.select("*", sure.alias("sure"), F.monotonically_increasing_id().alias("id")), "cell-pairs")
+        edges = edges.unionAll(pairs.where("sure").select("u", "v").distinct())
+        p, grid = p.drop(*grid), finer
+    return cells, edges
+
+
+def _components(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str], strict: bool = False) -> tuple[DataFrame, list[str]]:
+    """(sub-cells with their ``group``, the smallest pid of the component, and number ``n`` of points; their columns s0, ...)."""
+    cells, edges = adjacency(points, pid, cols, eps, keys, strict)
+    sub = [f"s{k}" for k in range(len(cols))]
     comp = connected_components(edges)
-    return members.join(comp, "node", "left").select(*keys, pid, F.coalesce("component", "node").alias("group"))
+    named = cells.select(*keys, *sub, "n", "node").join(comp, "node", "left")
+    return named.select(*keys, *sub, "n", F.coalesce("component", "node").alias("group")), sub
+
+
+def _in_cells(points: DataFrame, cells: DataFrame, cols: list[str], eps: float, keys: list[str]) -> DataFrame:
+    """Points with the columns of their sub-cell."""
+    side = eps / math.sqrt(len(cols)) * (1 - 1e-9)
+    at = {f"s{k}": F.floor(F.col(c).cast("double") / F.lit(side)) for k, c in enumerate(cols)}
+    return points.withColumns(at).join(cells, [*keys, *at]).drop(*at)
 
 
 def clusters(points: DataFrame, pid: str, eps: float, cols: list[str] | None = None, min_points: int = 1, max_points: int = 10_000_000, keys: list[str] | None = None) -> DataFrame:
     """(keys, cluster, pid, size): Euclidean clusters, named by their smallest pid, within size limits.
 
-    ``pid`` must be unique over all keys.
+    ``pid`` must be unique over all keys. Sizes are summed over sub-cells; points meet the sub-cells of clusters within
+    the limits once, at the end.
     """
     keys = keys or []
     cols = cols or ["x", "y", "z"]
-    named = _components(points, pid, cols, eps, keys).withColumnRenamed("group", "cluster")
-    sizes = named.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size").between(min_points, max_points))
-    return named.join(sizes, "cluster").select(*keys, "cluster", pid, "size")
+    cells, sub = _components(points, pid, cols, eps, keys)
+    sizes = cells.groupBy("group").agg(F.sum("n").alias("size")).where(F.col("size").between(min_points, max_points))
+    kept = cells.join(sizes, "group").select(*keys, *sub, F.col("group").alias("cluster"), "size")
+    return _in_cells(points.select(*keys, pid, *cols), kept, cols, eps, keys).select(*keys, "cluster", pid, "size")
 
 
 def merge_points(points: DataFrame, pid: str, radius: float, keys: list[str] | None = None) -> DataFrame:
@@ -139,7 +236,8 @@ def merge_points(points: DataFrame, pid: str, radius: float, keys: list[str] | N
     keys = keys or []
     if radius <= 0:
         return points.select(*keys, pid, "x", "y", "z", F.lit(1).cast("long").alias("n"))
-    named = points.join(_components(points, pid, ["x", "y"], radius, keys, strict=True).select(pid, F.col("group").alias("__g")), pid)
+    cells, sub = _components(points, pid, ["x", "y"], radius, keys, strict=True)
+    named = _in_cells(points, cells.select(*keys, *sub, F.col("group").alias("__g")), ["x", "y"], radius, keys)
     g = named.groupBy(*keys, F.col("__g").alias(pid)).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count("*").alias("n"))
     return g.select(*keys, pid, "x", "y", "z", "n")
 

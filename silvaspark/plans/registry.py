@@ -122,10 +122,11 @@ def budget_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "label string, target long, kept long, iterations int, converged boolean")
 
 
-@query("""WITH d AS (SELECT unnest(range(0, 400)) / 10.0::DOUBLE AS d)
+@query(f"""WITH d AS (SELECT DISTINCT round(sqrt(x * x + y * y), 2) AS d FROM ({V.PTS}))
 """ + "\nUNION ALL ".join(f"SELECT '{k}' AS label, d, round(({e})::DOUBLE, 9) AS p FROM d" for k, e in P_SQL.items()))
 def retention_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(400).select((F.col("id") / F.lit(10.0)).alias("d"))
+    """P(d) of every model at every distance of the cloud, in centimetres."""
+    d = V.pts(spark, sf_dir).select(F.round(distance(F.col("x"), F.col("y")), 2).alias("d")).distinct()
     return d.select("d", F.inline(F.array(*[F.struct(F.lit(m.label).alias("label"), r6(probability(m, F.col("d")), 9).alias("p")) for m in MODELS])))
 
 
@@ -634,12 +635,32 @@ def point_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.point_errors(V.pts(spark, sf_dir), _turned(spark), ["job"]).withColumn("e_p", r6("e_p", 7))
 
 
-@query(f"""WITH {JOBS}, k AS (SELECT *, sqrt(1 - s * s) AS c FROM j), e AS (SELECT job, degrees(acos(least(greatest((2 * c + 1 - 1) / 2, -1), 1))) AS rot_err, sqrt(t0 * t0 + 0.05::DOUBLE * 0.05::DOUBLE) AS trans_err, degrees(atan2(s, c)) AS yaw FROM k)
-SELECT job, round(rot_err, 6) AS rot_err, round(trans_err, 8) AS trans_err, rot_err < 2 AND trans_err < 0.5 AS success, round(yaw, 6) AS yaw, 0.0::DOUBLE AS tilt FROM e""")
+#: Estimated and true transforms of customers: turns by the angles whose sines are s and g, and shifts.
+MOVES = """m AS (SELECT c_custkey AS job, (c_custkey * 37 % 201 - 100) / 2000.0::DOUBLE AS s, (c_custkey * 53 % 201 - 100) / 2000.0::DOUBLE AS g,
+  round(c_acctbal) / 1e4 AS t0, (c_custkey % 13 - 6) / 20.0::DOUBLE AS t1, c_nationkey / 100.0::DOUBLE AS t2 FROM customer)"""
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    turn = lambda f: (k * f % 201 - 100) / F.lit(2000.0)
+    m = c.select(k.alias("job"), turn(37).alias("s"), turn(53).alias("g"), (F.round("c_acctbal") / F.lit(1e4)).alias("t0"), ((k % 13 - 6) / F.lit(20.0)).alias("t1"), (F.col("c_nationkey") / F.lit(100.0)).alias("t2"))
+
+    def turned(sine: str, pre: str) -> list:
+        s, c = F.col(sine), F.sqrt(1 - F.col(sine) * F.col(sine))
+        return [(c if n in ("00", "11") else -s if n == "01" else s if n == "10" else F.lit(float(n == "22"))).alias(f"{pre}{n}") for n in (f"{i}{j}" for i in range(3) for j in range(3))]
+
+    true = [F.lit(0.0).alias(f"gt{i}") for i in range(3)]
+    return m.select("job", *turned("s", "r"), "t0", "t1", "t2", *[c.alias(f"g{n}") for c, n in zip(turned("g", "r"), R.R_COLS, strict=True)], *true)
+
+
+@query(f"""WITH {MOVES}, e AS (SELECT *, degrees(abs(asin(s) - asin(g))) AS rot_err, sqrt(t0 * t0 + t1 * t1 + t2 * t2) AS trans_err FROM m)
+SELECT job, round(rot_err, 5) AS rot_err, round(trans_err, 8) AS trans_err, rot_err < 2 AND trans_err < 0.5 AS success, round(degrees(asin(s) - asin(g)), 6) + 0.0 AS yaw, 0.0::DOUBLE AS tilt FROM e""")
 def transform_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors, yaw and tilt of the transforms of all customers."""
     yaw, tilt = R.yaw_tilt()
-    e = R.evaluate(_turned(spark)).withColumns({"yaw": yaw, "tilt": tilt})
-    return e.select("job", r6("rot_err").alias("rot_err"), r6("trans_err", 8).alias("trans_err"), "success", r6("yaw").alias("yaw"), r6("tilt").alias("tilt"))
+    e = R.evaluate(_moves(spark, sf_dir)).withColumns({"yaw": yaw, "tilt": tilt})
+    return e.select("job", r6("rot_err", 5).alias("rot_err"), r6("trans_err", 8).alias("trans_err"), "success", (r6("yaw") + F.lit(0.0)).alias("yaw"), r6("tilt").alias("tilt"))
 
 
 @query(f"""WITH pts AS ({V.PTS}), {JOBS}, k AS (SELECT *, sqrt(1 - s * s) AS c FROM j)
@@ -714,12 +735,14 @@ def win_lose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.win_lose(V.runs(spark, sf_dir), "model", "step")
 
 
-@query("""WITH w AS (SELECT a.a AS wins, b.b AS losses FROM range(0, 21) AS a(a), range(0, 21) AS b(b)), s AS (
-  SELECT wins, losses, (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) FROM range(0, least(wins, losses) + 1) AS r(i)) AS c FROM w)
-SELECT wins, losses, floor(CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * c) END * 1e9 + 0.3)::BIGINT AS p_billionths, CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * c) END < 0.05::DOUBLE / 6 AS significant FROM s""")
+@query("""WITH w AS (SELECT o_custkey AS pair, count(*) FILTER (o_totalprice > 150000) AS wins, count(*) FILTER (o_totalprice < 130000) AS losses FROM orders GROUP BY ALL), s AS (
+  SELECT pair, wins, losses, (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) FROM range(0, least(wins, losses) + 1) AS r(i)) AS c FROM w)
+SELECT pair, wins, losses, floor(CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * c) END * 1e9 + 0.3)::BIGINT AS p_billionths, CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * c) END < 0.05::DOUBLE / 6 AS significant FROM s""")
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = spark.range(441).select((F.col("id") % 21).alias("wins"), F.floor(F.col("id") / 21).alias("losses"))
-    return reports.sign_test(w, tests=6).select("wins", "losses", F.floor(F.col("p") * 1e9 + 0.3).alias("p_billionths"), "significant")
+    """Wins and losses of each customer's orders."""
+    o = V.table(spark, sf_dir, "orders")
+    w = o.groupBy(F.col("o_custkey").alias("pair")).agg(F.count_if(F.col("o_totalprice") > 150000).alias("wins"), F.count_if(F.col("o_totalprice") < 130000).alias("losses"))
+    return reports.sign_test(w, tests=6).select("pair", "wins", "losses", F.floor(F.col("p") * 1e9 + 0.3).alias("p_billionths"), "significant")
 
 
 @query(f"""{RUNS}, c AS (SELECT model, seed, count(*) FILTER (success) AS won FROM runs GROUP BY ALL)
@@ -764,9 +787,9 @@ def oracle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.oracle_positions(kps, t, ["kp"], vertical=False).select("scan", "kp", "x", "y", "z")
 
 
-@query(f"""WITH {JOBS} SELECT job, round(sqrt(t0 * t0 + 0.05::DOUBLE * 0.05::DOUBLE), 8) AS separation FROM j""")
+@query(f"""WITH {MOVES} SELECT job, round(sqrt(t0 * t0 + t1 * t1), 8) AS separation FROM m""")
 def station_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turned(spark).select("job", r6(R.station_separation(), 8).alias("separation"))
+    return _moves(spark, sf_dir).select("job", r6(R.station_separation(), 8).alias("separation"))
 
 
 @query(f"""{RUNS}, g AS (SELECT model AS variant, CASE seed % 2 WHEN 0 THEN 'svd' ELSE 'svd+ransac' END AS solver, success, e_p, n AS n_matches, n // 2 AS n_correct FROM runs)
