@@ -124,6 +124,25 @@ def _reach(a: str, b: str, dims: int) -> Column:
     return out
 
 
+def _near_cells(cells: DataFrame, dims: int, eps: float, side: float, keys: list[str], within) -> tuple[DataFrame, list[str], list[str], Column]:
+    """Pairs (u, v, sure, id) of cells whose boxes are within eps; ``sure`` if all of their points are. Numbers and boxes
+    of both are there where they are not.
+
+    Cells meet on a coarser grid: each is at home where its box begins, and goes wherever a near one can be at home."""
+    wide = 3 * eps
+    box = [f"{e}{k}" for k in range(dims) for e in ("lo", "hi")]
+    home = [F.floor(F.col(f"lo{k}") / wide).alias(f"__h{k}") for k in range(dims)]
+    a = cells.select(*keys, F.col("node").alias("u"), F.col("n").alias("an"), *[F.col(c).alias(f"a{c}") for c in box], *home)
+    b = cells.select(*keys, F.col("node").alias("v"), F.col("n").alias("bn"), *[F.col(c).alias(f"b{c}") for c in box])
+    for k in range(dims):
+        b = b.withColumn(f"__h{k}", F.explode(F.sequence(F.floor((F.col(f"blo{k}") - (eps + side)) / wide), F.floor((F.col(f"bhi{k}") + eps) / wide))))
+    met = a.join(b, [*keys, *[f"__h{k}" for k in range(dims)]]).where("u < v").where(within(_gap("a", "b", dims)))
+    ends = ["an", "bn", *[f"{x}{c}" for x in "ab" for c in box]]
+    sure = within(_reach("a", "b", dims))
+    pairs = written(met.select("u", "v", sure.alias("sure"), *[F.when(~sure, F.col(c)).alias(c) for c in ends], F.monotonically_increasing_id().alias("id")), "cell-pairs")
+    return pairs, ends, box, sure
+
+
 def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cells, edges): sub-cells of points (keys, s0, s1, ..., node, n, box), and an edge (u, v) for each pair of sub-cells
     that are joined.
@@ -144,18 +163,7 @@ def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: li
     p = p.select("*", *[F.floor(F.col(c) / F.lit(side)).alias(s) for c, s in zip(cols, sub, strict=True)])
     cells = written(_boxes(p, cols, [*keys, *sub], F.min(pid).alias("node")), "sub-cells")
 
-    # cells meet on a coarser grid: each is at home where its box begins, and goes wherever a near one can be at home
-    wide = 3 * eps
-    box = [f"{e}{k}" for k in range(dims) for e in ("lo", "hi")]
-    home = [F.floor(F.col(f"lo{k}") / wide).alias(f"__h{k}") for k in range(dims)]
-    a = cells.select(*keys, F.col("node").alias("u"), F.col("n").alias("an"), *[F.col(c).alias(f"a{c}") for c in box], *home)
-    b = cells.select(*keys, F.col("node").alias("v"), F.col("n").alias("bn"), *[F.col(c).alias(f"b{c}") for c in box])
-    for k in range(dims):
-        b = b.withColumn(f"__h{k}", F.explode(F.sequence(F.floor((F.col(f"blo{k}") - (eps + side)) / wide), F.floor((F.col(f"bhi{k}") + eps) / wide))))
-    met = a.join(b, [*keys, *[f"__h{k}" for k in range(dims)]]).where("u < v").where(within(_gap("a", "b", dims)))
-    ends = ["an", "bn", *[f"{x}{c}" for x in "ab" for c in box]]
-    sure = within(_reach("a", "b", dims))
-    pairs = written(met.select("u", "v", sure.alias("sure"), *[F.when(~sure, F.col(c)).alias(c) for c in ends], F.monotonically_increasing_id().alias("id")), "cell-pairs")
+    pairs, ends, box, sure = _near_cells(cells, dims, eps, side, keys, within)
     edges = pairs.where("sure").select("u", "v")
     grid: list[str] = []
     for level in range(1, 30):
@@ -230,6 +238,63 @@ def clusters(points: DataFrame, pid: str, eps: float, cols: list[str] | None = N
     return _in_cells(points.select(*keys, pid, *cols), kept, cols, eps, keys).select(*keys, "cluster", pid, "size")
 
 
+#: Runs whose marks fit one integer.
+RUNS = 62
+
+
+def clusters_of_runs(points: DataFrame, pid: str, eps: float, cols: list[str] | None = None, min_points: int = 1, max_points: int = 10_000_000, runs: str = "runs") -> DataFrame:
+    """(run, cluster, pid): ``clusters`` of the points of each run; ``runs`` is the array of the numbers (from 0) of a point's runs.
+
+    Sub-cells and the pairs of them that are near are found once for all runs. An edge carries a mark, a bit for each run in
+    which it holds: of the runs that both sub-cells occur in if all points of them are within reach, else of those
+    that have two points within reach. So what grows with the number of runs is components and the rows of the result.
+    Points of open pairs are compared with each other, so they must have been thinned: a sub-cell holds as many as
+    voxels fit into it. ``pid`` must be unique and below 2**57.
+    """
+    cols = cols or ["x", "y", "z"]
+    dims = len(cols)
+    side = eps / math.sqrt(dims) * (1 - 1e-9)
+    sub = [f"s{k}" for k in range(dims)]
+    limit = F.lit(eps * eps)
+    within = lambda d: d <= limit
+    p = points.select(pid, runs, *[F.col(c).cast("double").alias(c) for c in cols])
+    p = written(p.select("*", *[F.floor(F.col(c) / F.lit(side)).alias(s) for c, s in zip(cols, sub, strict=True)]), "points-of-runs")
+    n_runs = p.agg(F.max(F.array_max(runs))).first()[0]
+    out = None
+    for low in range(0, (n_runs if n_runs is not None else 0) + 1, RUNS):
+        # the marks of this batch of runs
+        mark = F.aggregate(F.filter(runs, lambda r: (r >= low) & (r < low + RUNS)), F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (r - low).cast("int"))))  # noqa: B023
+        q = p.select(pid, *cols, *sub, mark.alias("mark")).where("mark <> 0")
+        cells = written(_boxes(q, cols, sub, F.min(pid).alias("node"), F.bit_or("mark").alias("mark")), "sub-cells")
+        pairs, _, box, _ = _near_cells(cells, dims, eps, side, [], within)
+        marks = lambda n: cells.select(F.col("node").alias(n), F.col("mark").alias(f"{n}mark"))  # noqa: B023, E731
+        sure = pairs.where("sure").select("u", "v").join(marks("u"), "u").join(marks("v"), "v").select("u", "v", F.col("umark").bitwiseAND(F.col("vmark")).alias("mark"))
+        left = pairs.where(~F.col("sure"))
+        used = left.select(F.col("u").alias("node")).unionAll(left.select(F.col("v").alias("node"))).distinct()
+        pts = q.join(cells.select(*sub, "node").join(used, "node", "left_semi"), sub).select("node", "mark", *cols)
+
+        def sent(x: str, n: str, other: str) -> DataFrame:
+            to = left.select("id", F.col(n).alias("node"), *[F.col(f"{other}{c}").alias(f"o{c}") for c in box])  # noqa: B023
+            return to.join(pts, "node").where(within(_gap("", "o", dims, cols))).select("id", F.col("mark").alias(f"{x}mark"), *[F.col(c).alias(f"{x}{c}") for c in cols])  # noqa: B023
+
+        d = [F.col(f"a{c}") - F.col(f"b{c}") for c in cols]
+        both = F.col("amark").bitwiseAND(F.col("bmark"))
+        hit = sent("a", "u", "b").join(sent("b", "v", "a"), "id").where((both != 0) & within(sum((x * x for x in d[1:]), d[0] * d[0])))
+        close = hit.groupBy("id").agg(F.bit_or(both).alias("mark")).join(left.select("id", "u", "v"), "id").select("u", "v", "mark")
+        # a node of a run is the sub-cell's name and the run in the lowest six bits
+        of = F.filter(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.call_function("shiftright", F.col("mark"), r).bitwiseAND(F.lit(1)) == 1)
+        in_run = lambda c: F.call_function("shiftleft", F.col(c), F.lit(6)).bitwiseOR(F.col("r").cast("long"))
+        edges = sure.unionAll(close).where("mark <> 0").withColumn("r", F.explode(of)).select(in_run("u").alias("u"), in_run("v").alias("v"))
+        comp = connected_components(edges)
+        each = q.join(cells.select(*sub, "node"), sub).select(pid, "node", F.explode(of).alias("r")).withColumn("__n", in_run("node"))
+        named = each.join(comp.withColumnRenamed("node", "__n"), "__n", "left").withColumn("__c", F.coalesce("component", "__n"))
+        # clusters go by the smallest point of theirs in the run
+        w = named.groupBy("__c").agg(F.count("*").alias("size"), F.min(pid).alias("cluster")).where(F.col("size").between(min_points, max_points))
+        part = named.join(w, "__c").select((F.col("r") + low).cast("int").alias("run"), "cluster", pid)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def merge_points(points: DataFrame, pid: str, radius: float, keys: list[str] | None = None) -> DataFrame:
     """(keys, pid, x, y, z, n): groups of points linked by horizontal distances below ``radius``,
     replaced by their mean and named by the smallest pid; a radius of 0 or less merges nothing."""

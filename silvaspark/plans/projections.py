@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvaspark.functions.retention import common_uniform, distance
+from silvaspark.functions.retention import distance, start, with_uniform
 from silvaspark.runtime import table
 
 #: The same views in SQL, for comparison.
@@ -35,7 +37,7 @@ def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampled(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (1,)) -> DataFrame:
     """``pts`` with the distance d and a uniform u<seed> for each seed."""
     p = pts(spark, sf_dir).select("x", "y", "z")
-    return p.select("x", "y", "z", distance(F.col("x"), F.col("y")).alias("d"), *[common_uniform(s, F.col("x"), F.col("y"), F.col("z")).alias(f"u{s}") for s in seeds])
+    return with_uniform(p.withColumn("d", distance(F.col("x"), F.col("y"))), {f"u{s}": start(s) for s in seeds})
 
 
 def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,3 +74,42 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy((F.col("o_orderkey") % 10 + 1).alias("seed"), m.alias("model"), (F.col("o_custkey") % 15).alias("pair")).agg(
         F.bool_or(F.col("o_totalprice") > 100000).alias("success"), F.when(~(low > 20000), F.round(low / 1e5, 7)).alias("e_p"), F.count("*").alias("n")
     )
+
+
+#: Stems of a stand, one a supplier: on a grid of 4 m, a little beside its places, 12 m and more from the scanner.
+STEMS = """
+  SELECT s_suppkey AS stem, 14 + 4 * (s_suppkey % side) + (s_suppkey * 37 % 21 - 10) / 20.0::DOUBLE AS x, 4 * (s_suppkey // side - side // 2) + (s_suppkey * 53 % 21 - 10) / 20.0::DOUBLE AS y,
+         0.25 + s_suppkey % 11 / 50.0::DOUBLE AS radius
+  FROM supplier, (SELECT ceil(sqrt(count(*)))::BIGINT AS side FROM supplier)
+"""
+
+
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stem, x, y, z, radius): where the stems of ``stand`` stand on its ground, a plane."""
+    s = table(spark, sf_dir, "supplier")
+    side = s.agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("side"))  # one row
+    k = F.col("s_suppkey")
+    beside = lambda f: (k * f % 21 - 10) / F.lit(20.0)
+    at = s.crossJoin(F.broadcast(side)).select(k.alias("stem"), (14 + 4 * (k % F.col("side")) + beside(37)).alias("x"), (4 * (F.floor(k / F.col("side")) - F.floor(F.col("side") / 2)) + beside(53)).alias("y"), (0.25 + k % 11 / F.lit(50.0)).alias("radius"))
+    return at.select("stem", "x", "y", _plane(F.col("x"), F.col("y")).alias("z"), "radius")
+
+
+def _plane(x: Column, y: Column) -> Column:
+    return F.lit(0.1) * x + F.lit(0.05) * y - 1.5
+
+
+def stand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(x, y, z) of a stand with a point for each row of lineitem, the supplier's part being a third ground around its stem and
+    two thirds the stem's surface up to 2 m. Area and points grow together with the tables."""
+    n = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    part = lambda f: n * f % 1000003 / F.lit(1000003.0)
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("stem"), n.alias("n"), part(569840).alias("a"), part(754877).alias("b"))
+    p = own.join(stems(spark, sf_dir).withColumnRenamed("z", "foot"), "stem")
+    noise = (F.col("n") * 31 % 7 - 3) / F.lit(1000.0)
+    turn = F.col("a") * F.lit(2 * math.pi)
+    on_stem = F.col("n") % 3 != 0
+    r = F.col("radius") + noise
+    x = F.when(on_stem, F.col("x") + r * F.cos(turn)).otherwise(F.col("x") + 4 * F.col("a") - 2)
+    y = F.when(on_stem, F.col("y") + r * F.sin(turn)).otherwise(F.col("y") + 4 * F.col("b") - 2)
+    p = p.select(x.alias("x"), y.alias("y"), on_stem.alias("on"), (F.col("foot") + F.lit(0.05) + F.lit(1.95) * F.col("b")).alias("up"), noise.alias("noise"))
+    return p.select("x", "y", F.when(F.col("on"), F.col("up")).otherwise(_plane(F.col("x"), F.col("y")) + F.col("noise")).alias("z"))
