@@ -8,6 +8,8 @@ only the round they were in.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,36 @@ def _state(e: DataFrame):
     return s["n"], s["x"]
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def _settled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node of the component of each): roots are joined to smaller ones and paths halved until nothing moves."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    up = np.arange(len(nodes))
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[up]
+        np.minimum.at(up, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+
+
+def _in_one_task(e: DataFrame) -> DataFrame:
+    def solve(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            node, component = _settled(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], names=["node", "component"])
+
+    return e.select("u", "v").repartition(1).mapInArrow(solve, "node long, component long")
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, few: int = 0) -> DataFrame:
     """``edges(u, v)`` with BIGINT ends to ``(node, component)``.
 
+    Up to ``few`` different edges, which are counted first, are settled in one task (16 bytes each) instead of rounds.
+
     ``component`` is the smallest node of the component. Self loops and repeated edges are
     ignored; rows with a null end are dropped; nodes without an edge to another node do not
     appear. An empty edge table gives an empty result.
@@ -58,6 +87,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         "cc",
     )
     before = _state(e)
+    if 0 < before[0] <= few:
+        return _in_one_task(e)
     for _ in range(max_rounds):
         if before[0] == 0:
             break

@@ -95,6 +95,8 @@ def normals(points: DataFrame, pid: str, radius: float = 0.10, keys: list[str] |
     return out.select(*(keys or []), pid, "n", "__e.*")
 
 
+#: Edges that one task settles (32 MB).
+FEW_EDGES = 2_000_000
 #: Pairs of cells with at most this many pairs of points are decided by their points, others by cells a quarter as wide.
 FEW = 1024
 
@@ -143,9 +145,9 @@ def _near_cells(cells: DataFrame, dims: int, eps: float, side: float, keys: list
     return pairs, ends, box, sure
 
 
-def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(cells, edges): sub-cells of points (keys, s0, s1, ..., node, n, box), and an edge (u, v) for each pair of sub-cells
-    that are joined.
+def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, edges, points): sub-cells of points (keys, s0, s1, ..., node, n, box), an edge (u, v) for each pair of sub-cells
+    that are joined, and the points with the place s0, s1, ... of their sub-cell.
 
     Points of one sub-cell of side eps/sqrt(dims) are all adjacent, so a sub-cell is one node, named by its
     smallest pid. Two sub-cells are joined if their least distance is within eps. The boxes around their points decide
@@ -160,7 +162,9 @@ def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: li
     limit = F.lit(eps * eps)
     within = (lambda d: d < limit) if strict else (lambda d: d <= limit)
     p = points.select(*keys, pid, *[F.col(c).cast("double").alias(c) for c in cols])
-    p = p.select("*", *[F.floor(F.col(c) / F.lit(side)).alias(s) for c, s in zip(cols, sub, strict=True)])
+    # written, since open pairs and the result ask for the points again
+    p = written(p.select("*", *[F.floor(F.col(c) / F.lit(side)).alias(s) for c, s in zip(cols, sub, strict=True)]), "points-of-cells")
+    in_cells = p
     cells = written(_boxes(p, cols, [*keys, *sub], F.min(pid).alias("node")), "sub-cells")
 
     pairs, ends, box, sure = _near_cells(cells, dims, eps, side, keys, within)
@@ -205,23 +209,17 @@ def adjacency(points: DataFrame, pid: str, cols: list[str], eps: float, keys: li
         pairs = written(met.select("*", sure.alias("sure"), F.monotonically_increasing_id().alias("id")), "cell-pairs")
         edges = edges.unionAll(pairs.where("sure").select("u", "v").distinct())
         p, grid = p.drop(*grid), finer
-    return cells, edges
+    return cells, edges, in_cells
 
 
-def _components(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str], strict: bool = False) -> tuple[DataFrame, list[str]]:
-    """(sub-cells with their ``group``, the smallest pid of the component, and number ``n`` of points; their columns s0, ...)."""
-    cells, edges = adjacency(points, pid, cols, eps, keys, strict)
+def _components(points: DataFrame, pid: str, cols: list[str], eps: float, keys: list[str], strict: bool = False) -> tuple[DataFrame, list[str], DataFrame]:
+    """(sub-cells with their ``group``, the smallest pid of the component, and number ``n`` of points; their columns s0, ...;
+    points with the same columns)."""
+    cells, edges, placed = adjacency(points, pid, cols, eps, keys, strict)
     sub = [f"s{k}" for k in range(len(cols))]
-    comp = connected_components(edges)
+    comp = connected_components(edges, few=FEW_EDGES)
     named = cells.select(*keys, *sub, "n", "node").join(comp, "node", "left")
-    return named.select(*keys, *sub, "n", F.coalesce("component", "node").alias("group")), sub
-
-
-def _in_cells(points: DataFrame, cells: DataFrame, cols: list[str], eps: float, keys: list[str]) -> DataFrame:
-    """Points with the columns of their sub-cell."""
-    side = eps / math.sqrt(len(cols)) * (1 - 1e-9)
-    at = {f"s{k}": F.floor(F.col(c).cast("double") / F.lit(side)) for k, c in enumerate(cols)}
-    return points.withColumns(at).join(cells, [*keys, *at]).drop(*at)
+    return named.select(*keys, *sub, "n", F.coalesce("component", "node").alias("group")), sub, placed
 
 
 def clusters(points: DataFrame, pid: str, eps: float, cols: list[str] | None = None, min_points: int = 1, max_points: int = 10_000_000, keys: list[str] | None = None) -> DataFrame:
@@ -232,10 +230,10 @@ def clusters(points: DataFrame, pid: str, eps: float, cols: list[str] | None = N
     """
     keys = keys or []
     cols = cols or ["x", "y", "z"]
-    cells, sub = _components(points, pid, cols, eps, keys)
+    cells, sub, placed = _components(points, pid, cols, eps, keys)
     sizes = cells.groupBy("group").agg(F.sum("n").alias("size")).where(F.col("size").between(min_points, max_points))
     kept = cells.join(sizes, "group").select(*keys, *sub, F.col("group").alias("cluster"), "size")
-    return _in_cells(points.select(*keys, pid, *cols), kept, cols, eps, keys).select(*keys, "cluster", pid, "size")
+    return placed.select(*keys, pid, *sub).join(kept, [*keys, *sub]).select(*keys, "cluster", pid, "size")
 
 
 #: Runs whose marks fit one integer.
@@ -285,7 +283,7 @@ def clusters_of_runs(points: DataFrame, pid: str, eps: float, cols: list[str] |
         of = F.filter(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.call_function("shiftright", F.col("mark"), r).bitwiseAND(F.lit(1)) == 1)
         in_run = lambda c: F.call_function("shiftleft", F.col(c), F.lit(6)).bitwiseOR(F.col("r").cast("long"))
         edges = sure.unionAll(close).where("mark <> 0").withColumn("r", F.explode(of)).select(in_run("u").alias("u"), in_run("v").alias("v"))
-        comp = connected_components(edges)
+        comp = connected_components(edges, few=FEW_EDGES)
         each = q.join(cells.select(*sub, "node"), sub).select(pid, "node", F.explode(of).alias("r")).withColumn("__n", in_run("node"))
         named = each.join(comp.withColumnRenamed("node", "__n"), "__n", "left").withColumn("__c", F.coalesce("component", "__n"))
         # clusters go by the smallest point of theirs in the run
@@ -301,8 +299,8 @@ def merge_points(points: DataFrame, pid: str, radius: float, keys: list[str] | N
     keys = keys or []
     if radius <= 0:
         return points.select(*keys, pid, "x", "y", "z", F.lit(1).cast("long").alias("n"))
-    cells, sub = _components(points, pid, ["x", "y"], radius, keys, strict=True)
-    named = _in_cells(points, cells.select(*keys, *sub, F.col("group").alias("__g")), ["x", "y"], radius, keys)
+    cells, sub, placed = _components(points, pid, ["x", "y"], radius, keys, strict=True)
+    named = points.join(placed.select(pid, *keys, *sub).join(cells.select(*keys, *sub, F.col("group").alias("__g")), [*keys, *sub]).select(pid, "__g"), pid)
     g = named.groupBy(*keys, F.col("__g").alias(pid)).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count("*").alias("n"))
     return g.select(*keys, pid, "x", "y", "z", "n")
 

@@ -110,16 +110,48 @@ def budget_physical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _budget(spark, sf_dir, model("physical"))
 
 
-@query()
+def _halving_sql(name: str, label: str, few: str, many: str, p: str) -> str:
+    """CTEs that end in ``name``: bisection until the count is within the tolerance, at most 60 times, the nearest of all tried places."""
+    n = f"(SELECT count(*) FROM once WHERE u < least(greatest({p}, 0), 1))"
+    at = lambda v: n.replace("$", v)
+    # three rows of {name}r: both ends, then a row for each halving, which knows the ends it leaves
+    return f"""{name}e AS (SELECT target, greatest(1.0, 0.001 * target) AS tol, {at(few)} AS c0, {at(many)} AS c1 FROM t),
+{name}r AS (SELECT 0 AS i, {few} AS few, {many} AS many, CASE WHEN abs(c0 - target) <= abs(c1 - target) THEN c0 ELSE c1 END AS kept, target, tol FROM {name}e
+  UNION ALL SELECT i + 1, CASE WHEN c < target THEN mid ELSE few END, CASE WHEN c < target THEN many ELSE mid END, CASE WHEN abs(c - target) < abs(kept - target) THEN c ELSE kept END, target, tol
+  FROM (SELECT *, {at('q.mid')} AS c FROM (SELECT *, (few + many) / 2 AS mid FROM {name}r WHERE i < 60 AND abs(kept - target) > tol) AS q)),
+{name} AS (SELECT '{label}' AS label, target, last(kept ORDER BY i) AS kept, max(i)::INT AS iterations, bool_or(abs(kept - target) <= tol) AS converged FROM {name}r GROUP BY target)"""
+
+
+@query(f"""{U1.replace("WITH", "WITH RECURSIVE", 1)}, once AS MATERIALIZED (SELECT d, u FROM u), t AS (SELECT count(*) FILTER (u < {P_SQL['step']}) AS target FROM u),
+{_halving_sql('lin', 'linear*', '(-0.5::DOUBLE)', '1.0::DOUBLE', '$ + 0.05::DOUBLE * d')},
+{_halving_sql('phy', 'physical*', 'ln(1000.0::DOUBLE)', 'ln(0.1::DOUBLE)', 'greatest(0.1::DOUBLE, (d / exp($)) * (d / exp($)))')}
+SELECT * FROM lin UNION ALL SELECT * FROM phy""")
 def budget_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.sampled(spark, sf_dir).select("d", F.col("u1").alias("u")).persist()
-    target = sampling.count_kept(p, model("step"))
-    rows = []
-    for kind in ("linear_a", "physical"):
-        m, kept, n, ok = sampling.budget_by_bisection(p, model(kind), target)
-        rows.append((m.label, target, kept, n, ok))
-    p.unpersist()
-    return spark.createDataFrame(rows, "label string, target long, kept long, iterations int, converged boolean")
+    p = V.pts(spark, sf_dir).select("x", "y", "z").withColumn("d", distance(F.col("x"), F.col("y")))
+    target = sampling.each_run(p, [(model("step"), 1)]).agg(F.count_if("kept")).first()[0]
+    found = sampling.budgets_by_bisection(p, [(model(k), 1) for k in ("linear_a", "physical")], {1: target})
+    return spark.createDataFrame([(m.label, target, kept, n, ok) for m, kept, n, ok in found], "label string, target long, kept long, iterations int, converged boolean")
+
+
+_KEYS = [("linear*", "u - 0.05::DOUBLE * d", "least(greatest(value + 0.05::DOUBLE * d, 0), 1)", ""), ("physical*", "-(d / sqrt(u))", "least(greatest(0.1::DOUBLE, (d / value) * (d / value)), 1)", "WHERE u >= 0.1::DOUBLE")]
+
+
+@query(f"WITH pts AS ({V.PTS}),\n" + ",\n".join(uniform_sql(s, f"u{s}") for s in (1, 2, 3)) + f""",
+a AS (SELECT 1 AS seed, * FROM u1 UNION ALL SELECT 2, * FROM u2 UNION ALL SELECT 3, * FROM u3),
+t AS (SELECT seed, count(*) FILTER (u < {P_SQL['step']}) AS target, count(*) FILTER (u < 0.1::DOUBLE) AS sure FROM a GROUP BY seed), """ + ", ".join(f"""
+k{n} AS (SELECT seed, {key} AS k, row_number() OVER (PARTITION BY seed ORDER BY {key}) AS r FROM a {only}),
+v{n} AS (SELECT seed, target, {"-" if n else ""}(max(CASE WHEN r = target{" - sure" if n else ""} THEN k END) + max(CASE WHEN r = target{" - sure" if n else ""} + 1 THEN k END)) / 2 AS value FROM k{n} JOIN t USING (seed) GROUP BY seed, target)""" for n, (_, key, _, only) in enumerate(_KEYS)) + "\n" + " UNION ALL ".join(f"SELECT seed, '{label}' AS label, target, round(value, 8) AS value, (SELECT count(*) FROM a WHERE a.seed = v{n}.seed AND u < {p}) AS kept FROM v{n}" for n, (label, _, p, _) in enumerate(_KEYS)))
+def budgets_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear and physical models with the step model's number of points, for three seeds in the same passes."""
+    seeds = (1, 2, 3)
+    p = written(V.sampled(spark, sf_dir, seeds).drop("x", "y", "z"), "sampled")
+    targets = {r["u_column"]: r["kept"] for r in sampling.kept_counts(p, [model("step")], us=[f"u{s}" for s in seeds]).collect()}
+    wanted = [(model(k), f"u{s}", targets[f"u{s}"]) for s in seeds for k in ("linear_a", "physical")]
+    found = sampling.budgets_by_rank(p, wanted)
+    rows = [(int(u[1:]), m.label, t, float(m.d0 if m.kind == "physical" else m.intercept)) for m, (_, u, t) in zip(found, wanted, strict=True)]
+    kept = p.agg(*[F.count_if(F.col(u) < probability(m, F.col("d"))).alias(f"k{n}") for n, (m, (_, u, _)) in enumerate(zip(found, wanted, strict=True))]).first()
+    told = spark.createDataFrame([(*r, kept[f"k{n}"]) for n, r in enumerate(rows)], "seed int, label string, target long, value double, kept long")
+    return told.withColumn("value", r6("value", 8))
 
 
 @query(f"""WITH d AS (SELECT DISTINCT round(sqrt(x * x + y * y), 2) AS d FROM ({V.PTS}))
@@ -803,42 +835,66 @@ def variant_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("variant", "matches", "correct", "svd", "ransac", *[r6(F.col(c) + 1e-10, 8).alias(c) for c in ("ep_svd", "ep_ransac")])
 
 
-def _scene(spark: SparkSession):
-    from silvaspark.sources import synthetic
+#: Settings for the stand of ``projections.stand``, whose stems have some 90 points a square metre.
+STAND = ["--dtm.cell=1.0", "--dtm.support_count=1", "--normals.radius=0.2", "--cluster.tolerance=0.3", "--cylinder.dist_threshold=0.03"]
+
+
+def _stand_cfg(*more: str):
     from silvaspark.sources.config import Config
 
-    s = synthetic.Scene(ground_density=300.0, stem_density=6000.0, half_size=8.0)
-    return synthetic.make(spark, s), Config.load("", ["--voxel.leaf=0.02", "--dtm.support_count=1"])
+    return Config.load("", [*STAND, *more])
 
 
-@query()
+def _beside_stems(fits: DataFrame, stems: DataFrame) -> DataFrame:
+    """Every stem with the fit nearest to it, within half a metre; null where there is none."""
+    found = spatial.nearest(stems, fits.select(F.col("cluster").alias("fit"), F.col("px").alias("fx"), F.col("py").alias("fy")), "stem", "fit", ["x", "y"], ["fx", "fy"], 0.5)
+    return stems.withColumnRenamed("radius", "r0").join(found, "stem", "left").join(fits.withColumnRenamed("cluster", "fit"), "fit", "left")
+
+
+@query(f"""WITH s AS ({V.STEMS}), p AS (SELECT l_suppkey AS stem, count(*) FILTER ((l_orderkey * 8 + l_linenumber) % 3 <> 0) AS n FROM lineitem GROUP BY ALL)
+SELECT stem, true AS found, true AS near, true AS on_ground, true AS radius_fits, true AS upright, true AS most_points FROM s JOIN p USING (stem)""")
 def extract_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees of the synthetic scene; the tables of ``sf_dir`` hold no scan."""
+    """Terrain, slice, voxels, normals, clusters, cylinders and positions of a stand made from all rows of lineitem: whether every
+    stem is found within 1 cm, on the ground within 1 cm, with its radius within 1 cm, upright within a degree, from nearly all of its points."""
     from silvaspark.plans import pipeline
 
-    cloud, cfg = _scene(spark)
-    return pipeline.extract(cloud, cfg)[0]
+    _, fits = pipeline.extract(V.stand(spark, sf_dir), _stand_cfg())
+    n = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    given = V.table(spark, sf_dir, "lineitem").where(n % 3 != 0).groupBy(F.col("l_suppkey").alias("stem")).agg(F.count("*").alias("given"))
+    j = _beside_stems(fits.where("fail = 0"), V.stems(spark, sf_dir)).join(given, "stem")
+    ok = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
+    return j.select("stem", F.col("fit").isNotNull().alias("found"), ok(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) < 0.01, "near"), ok(F.abs(F.col("pz") - F.col("z")) < 0.01, "on_ground"), ok(F.abs(F.col("radius") - F.col("r0")) < 0.01, "radius_fits"), ok(F.col("tilt_deg") < 1, "upright"), ok(F.col("n_points") > 0.8 * F.col("given"), "most_points"))
 
 
-@query()
+@query(f"""WITH s AS ({V.STEMS}) SELECT 'ok' AS status, count(*) AS n, true AS inliers, true AS arcs, true AS normals_agree, true AS radii, true AS masks FROM s""")
 def cylinder_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fits of all clusters of the synthetic scene with their checks and axis hits."""
+    """Fits of all clusters of the stand by status: their number, and whether all keep the bounds that their checks set."""
     from silvaspark.plans import pipeline
-    from silvaspark.sources.tables import clusters_table
-
-    cloud, cfg = _scene(spark)
-    return clusters_table(pipeline.extract(cloud, cfg)[1])
 
+    c = pipeline.extract(V.stand(spark, sf_dir), _stand_cfg())[1]
+    n = F.col("n_points")
+    return c.groupBy("status").agg(F.count("*").alias("n"), F.bool_and(F.col("n_inliers") >= 0.95 * n).alias("inliers"), F.bool_and(F.col("arc_deg") >= 300).alias("arcs"), F.bool_and(F.col("n_normal_ok") >= 0.75 * n).alias("normals_agree"), F.bool_and(F.col("radius").between(0.24, 0.46)).alias("radii"), F.bool_and((F.col("fail_mask") == 0) & (F.col("fail") == 0)).alias("masks"))
 
-@query()
-def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two profiles, six models and two seeds on the synthetic scene against its true stems."""
-    from dataclasses import replace
 
+def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silvaspark.plans import pipeline
-    from silvaspark.sources import synthetic
 
-    cloud, cfg = _scene(spark)
-    cfg = replace(cfg, experiment=replace(cfg.experiment, n_seeds=2))
-    vert, planes, _ = pipeline.preprocess(P.localise(cloud), cfg)
-    return pipeline.experiment(vert, planes, synthetic.truth(spark), cfg)
+    cfg = _stand_cfg("--experiment.n_seeds=2")
+    vert, planes, _ = pipeline.preprocess(P.localise(V.stand(spark, sf_dir)), cfg)
+    return pipeline.experiment(vert, planes, V.stems(spark, sf_dir).select("x", "y"), cfg)
+
+
+@query()
+def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two profiles, six models and two seeds on the stand against its true stems."""
+    return _experiment(spark, sf_dir)
+
+
+@query(f"""WITH s AS (SELECT count(*)::DOUBLE AS n FROM ({V.STEMS})), l(label) AS (VALUES ('step'), ('linear_a'), ('linear_mid'), ('physical'), ('linear*'), ('physical*')),
+m AS (SELECT 'trees' AS metric, n AS mean FROM s UNION ALL SELECT 'clusters', n FROM s UNION ALL VALUES ('rate', 1.0), ('recall', 1.0), ('precision', 1.0), ('fail: no_model', 0.0), ('fail: tilt_too_large', 0.0))
+SELECT profile, label, metric, 2::BIGINT AS n, mean, 0.0::DOUBLE AS std FROM (VALUES ('baseline'), ('improved')) AS p(profile), l, m""")
+def experiment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of the experiment find all stems of the stand and nothing else."""
+    names = ["trees", "clusters", "rate", "recall", "precision", "fail: no_model", "fail: tilt_too_large"]
+    e = _experiment(spark, sf_dir).where(F.col("metric").isin(names))
+    return e.select("profile", "label", "metric", "n", r6("mean").alias("mean"), (r6("std") + F.lit(0.0)).alias("std"))
