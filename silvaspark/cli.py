@@ -1,4 +1,4 @@
-"""Command line: ``python -m silvaspark.cli extract|compare|register|inspect|synth``.
+"""Command line: ``python -m silvaspark.cli extract|compare|run_all|register|inspect|synth``.
 
 Settings are given as ``--section.key=value`` and by ``--config file.ini``.
 """
@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from silvaspark.operators import reports
 from silvaspark.operators.keypoints import Params
 from silvaspark.operators.points import ORIGINS
 from silvaspark.plans import pipeline
-from silvaspark.runtime import written
+from silvaspark.runtime import StageLog, peak_memory_mb, written
 from silvaspark.sources import points as S
 from silvaspark.sources import synthetic, tables
 from silvaspark.sources.config import Config
@@ -41,13 +42,14 @@ def _say(spark: SparkSession, text: str, out: str, name: str) -> None:
 
 def extract(spark: SparkSession, a, cfg: Config) -> None:
     cloud, skipped = S.read_points(spark, a.input)
-    trees, fits = pipeline.extract(cloud, cfg, a.seed)
+    log = StageLog()
+    trees, fits = pipeline.extract(cloud, cfg, a.seed, log=log)
     _save(trees, a.out, "trees")
     _save(tables.clusters_table(fits), a.out, "clusters")
     _save(skipped, a.out, "skipped")
     r = reports.success_rate(fits, []).first()
     fails = fits.groupBy("status").agg(F.count("*").alias("n")).orderBy("status").collect()
-    lines = [f"seed: {a.seed}", f"clusters: {r['clusters'] if r else 0}", f"trees: {r['trees'] if r else 0}", *[f"{f['status']}: {f['n']}" for f in fails]]
+    lines = [f"seed: {a.seed}", f"clusters: {r['clusters'] if r else 0}", f"trees: {r['trees'] if r else 0}", *[f"{f['status']}: {f['n']}" for f in fails], "", *log.lines()]
     _say(spark, "\n".join(lines), a.out, "run_log")
     tables.write_text(spark, cfg.dump(), os.path.join(a.out, "config"))
 
@@ -55,13 +57,17 @@ def extract(spark: SparkSession, a, cfg: Config) -> None:
 def compare(spark: SparkSession, a, cfg: Config) -> None:
     cloud, _ = S.read_points(spark, a.input)
     s = cfg.scanner
-    vert, planes, _ = pipeline.preprocess(P.localise(cloud, (s.x0, s.y0, s.z0)), cfg)
+    log = StageLog()
+    vert, planes, _ = pipeline.preprocess(P.localise(cloud, (s.x0, s.y0, s.z0)), cfg, log=log)
     refs = S.reference_positions(spark, a.ref) if a.ref else None
     if refs is not None:
         refs = refs.select((F.col("x") - s.x0).alias("x"), (F.col("y") - s.y0).alias("y"))
-    got = pipeline.experiment_tables(vert, planes, refs, cfg)
+    got = pipeline.experiment_tables(vert, planes, refs, cfg, log)
     _save(got["runs"], a.out, "runs")
-    _save(got["bins"], a.out, "retention_bins")
+    _save(got["stages"], a.out, "stages")
+    bins = written(got["bins"], "bins")
+    for label in pipeline.RAW:
+        _save(tables.bins_table(bins.where(F.col("label") == label)), a.out, f"retention_bins_{tables.file_label(label)}")
     o = (s.x0, s.y0, s.z0)
     at = [(F.col(f"p{c}") + F.lit(v)).alias(c) for c, v in zip("xyz", o, strict=True)]
     _save(got["fits"].where("fail = 0").select("label", "seed", F.col("cluster").alias("cluster_id"), *at, "radius", "tilt_deg", "n_points", "n_inliers"), a.out, "trees")
@@ -92,8 +98,33 @@ def register(spark: SparkSession, a, cfg: Config) -> None:
         _save(rows.withColumnRenamed("job", "label"), a.out, os.path.basename(cloud) + ".registration")
 
 
+def run_all(spark: SparkSession, a, cfg: Config) -> None:
+    """The comparison for every scan of a station table that has a position, and a status row for each scan."""
+    ok, left = tables.read_stations(spark, a.stations)
+    rows = []
+    for r in left.collect():
+        lacking = [c for c in ("x0", "y0", "z0", "source") if not (r[c] or "").strip()]
+        rows.append((r["scan"], "skipped", None, None, None, r["x0"], r["y0"], r["z0"], r["source"], "", "missing " + " ".join(lacking)))
+    for r in ok.collect():  # a list of scans, each of which is a run of its own
+        out = os.path.join(a.out, r["scan"])
+        extra = [f"--scanner.{c}={r[c]!r}" for c in ("x0", "y0", "z0")]
+        command = " ".join(["compare", f"--input={r['path']}", f"--out={out}", *a.settings, *extra])
+        began, note = time.time(), ""
+        try:
+            compare(spark, argparse.Namespace(input=r["path"], out=out, ref=a.ref), _config(a, [*a.settings, *extra]))
+        except Exception as e:  # noqa: BLE001 - a scan that fails has its row, and the others go on
+            note = " | ".join(str(e).strip().splitlines()[-3:])[:300] or type(e).__name__
+        rows.append((r["scan"], "failed" if note else "ok", 1 if note else 0, round(time.time() - began, 1), peak_memory_mb(spark), *[str(r[c]) for c in ("x0", "y0", "z0")], r["source"], command, note))
+    status = spark.createDataFrame(rows, "scan string, status string, exit_code int, wall_s double, peak_memory_mb double, x0 string, y0 string, z0 string, source string, command string, note string")
+    status.coalesce(1).write.mode("append").csv(os.path.join(a.out, "run_status"), header=True)
+
+
 def inspect(spark: SparkSession, a, cfg: Config) -> None:
-    cloud, skipped = S.read_points(spark, a.input)
+    cloud, skipped = S.read_points(spark, a.input, strict=False)
+    for r in S.header_check(spark, a.input, cloud, skipped).collect():
+        print(f"header: {r['header']} points, found {r['found']}: {'matches' if r['matches'] else 'MISMATCH'}")
+    local = cloud.select(*[(F.col(c) - float(v)).alias(c) for c, v in zip("xyz", a.origin.split(","), strict=True)])
+    print(P.report_text(P.sanity(local, near=cfg.scanner.nearest_warn)))
     o = [float(x) for x in a.origin.split(",")]
     p = cloud.where(F.pmod("pid", F.lit(a.stride)) == 0).select(*[(F.col(c) - v).alias(c) for c, v in zip("xyz", o, strict=True)])
     p = p.withColumn("r", F.round(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), 3))
@@ -117,6 +148,7 @@ def main(argv: list[str] | None = None) -> None:
     for name, args in {
         "extract": [("--input", {"required": True}), ("--out", {"required": True}), ("--version", {"choices": KINDS}), ("--seed", {"type": int, "default": 1})],
         "compare": [("--input", {"required": True}), ("--out", {"required": True}), ("--ref", {})],
+        "run_all": [("--stations", {"required": True}), ("--out", {"required": True}), ("--ref", {})],
         "register": [("--src_trees", {}), ("--tgt_trees", {}), ("--src_cloud", {}), ("--gt", {}), ("--label", {"default": ""}), ("--batch", {}), ("--out", {"required": True}), ("--thresholds", {"default": "0.05"}), ("--merge_radius", {"type": float, "default": 0.0}), ("--gt_match", {"type": float, "default": 0.3}), ("--N", {"type": int, "default": 183}), ("--w", {"type": float, "default": 10.0}), ("--th_score", {"type": float, "default": 40.0}), ("--min_dc", {"type": int, "default": 3}), ("--ransac_iters", {"type": int, "default": 1000}), ("--ransac_inlier", {"type": float, "default": 0.3}), ("--ransac_seed", {"type": int, "default": 1})],
         "inspect": [("--input", {"required": True}), ("--origin", {"default": "0,0,0"}), ("--stride", {"type": int, "default": 10}), ("--bin_deg", {"type": float, "default": 0.002})],
         "synth": [("--out", {"required": True}), ("--truth", {}), ("--offset", {"default": "0,0,0"}), ("--seed", {"type": int, "default": 42})],
@@ -127,6 +159,7 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument(flag, **kw)
     a, rest = top.parse_known_args(argv)
     spark = SparkSession.builder.appName(f"silvaspark {a.what}").getOrCreate()
+    a.settings = rest
     globals()[a.what](spark, a, _config(a, rest))
 
 

@@ -43,10 +43,14 @@ def angle(ax: Column, ay: Column, vx: Column, vy: Column) -> Column:
 
 def pairs(kps: DataFrame) -> DataFrame:
     """(scan, kp, q, vx, vy, d) of all other keypoints of the scan that do not coincide."""
+    return _all_pairs(kps).where(F.col("d") >= COINCIDENT)
+
+
+def _all_pairs(kps: DataFrame) -> DataFrame:
     a = kps.select("scan", "kp", F.col("x").alias("x0"), F.col("y").alias("y0"))
     b = kps.select("scan", F.col("kp").alias("q"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     d = a.join(b, "scan").where("kp <> q").select("scan", "kp", "q", (F.col("x1") - F.col("x0")).alias("vx"), (F.col("y1") - F.col("y0")).alias("vy"))
-    return d.withColumn("d", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).where(F.col("d") >= COINCIDENT)
+    return d.withColumn("d", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")))
 
 
 def nearest_three(p: DataFrame) -> DataFrame:
@@ -76,12 +80,14 @@ def descriptors(kps: DataFrame, prm: Params = Params()) -> DataFrame:
 
 
 def descriptor_stats(kps: DataFrame, prm: Params = Params()) -> DataFrame:
-    """(scan, n, enc2_first, enc3_first): descriptors, and how often sector 0 of the second and third
-    encoding is taken by an earlier neighbour."""
-    nn = nearest_three(pairs(kps)).groupBy("scan", "kp").agg(*[F.max(F.when(F.col("rank") == k, F.col("q"))).alias(f"n{k}") for k in (1, 2, 3)])
+    """(scan, n, enc2_first, enc3_first, coincident): descriptors, how often sector 0 of the second and third
+    encoding is taken by an earlier neighbour, and how many other keypoints descriptors leave out since they coincide with their own."""
+    every = _all_pairs(kps)
+    same = every.groupBy("scan", "kp").agg(F.count_if(F.col("d") < COINCIDENT).alias("same"))
+    nn = nearest_three(every.where(F.col("d") >= COINCIDENT)).groupBy("scan", "kp").agg(*[F.max(F.when(F.col("rank") == k, F.col("q"))).alias(f"n{k}") for k in (1, 2, 3)])
     zero = feature_matrix(kps, prm).where("sector = 0 and encode > 1").groupBy("scan", "kp").agg(*[F.max(F.when(F.col("encode") == k, F.col("q"))).alias(f"e{k}") for k in (2, 3)])
-    j = nn.join(zero, ["scan", "kp"], "left")
-    return j.groupBy("scan").agg(F.count("*").alias("n"), F.count_if(F.col("e2") == F.col("n1")).alias("enc2_first"), F.count_if((F.col("e3") == F.col("n1")) | (F.col("e3") == F.col("n2"))).alias("enc3_first"))
+    j = nn.join(zero, ["scan", "kp"], "left").join(same, ["scan", "kp"])
+    return j.groupBy("scan").agg(F.sum("same").alias("coincident"), F.count("*").alias("n"), F.count_if(F.col("e2") == F.col("n1")).alias("enc2_first"), F.count_if((F.col("e3") == F.col("n1")) | (F.col("e3") == F.col("n2"))).alias("enc3_first"))
 
 
 def _near(c: str, thr: float, side: str) -> Column:

@@ -384,7 +384,9 @@ def cn_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MATRIX}, n3 AS (SELECT scan, kp, max(CASE WHEN rank = 1 THEN q END) AS n1, max(CASE WHEN rank = 2 THEN q END) AS n2 FROM nn GROUP BY scan, kp),
 z AS (SELECT scan, kp, max(CASE WHEN encode = 2 THEN q END) AS e2, max(CASE WHEN encode = 3 THEN q END) AS e3 FROM fm WHERE sector = 0 GROUP BY scan, kp)
-SELECT scan, count(*) AS n, count(*) FILTER (e2 = n1) AS enc2_first, count(*) FILTER (e3 = n1 OR e3 = n2) AS enc3_first FROM n3 LEFT JOIN z USING (scan, kp) GROUP BY scan""")
+SELECT scan, count(*) AS n, count(*) FILTER (e2 = n1) AS enc2_first, count(*) FILTER (e3 = n1 OR e3 = n2) AS enc3_first,
+  sum((SELECT count(*) FROM kp a JOIN kp b ON a.scan = b.scan AND a.kp <> b.kp WHERE a.kp = n3.kp AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 1e-9))::BIGINT AS coincident
+FROM n3 LEFT JOIN z USING (scan, kp) GROUP BY scan""")
 def cn_descriptor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.descriptor_stats(V.keypoints(spark, sf_dir), CN)
 

@@ -241,9 +241,10 @@ def _whole(path: str, lay: Layout, kind: str) -> np.ndarray:
     return np.stack([out[c] for c in lay.fields], axis=1)
 
 
-def read_binary(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def read_binary(spark: SparkSession, paths: list[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(points, skipped) of PCD, PLY and LAS files; points with non-finite coordinates are skipped. A PLY file whose
-    points are not as many as its header says is cut off, which is an error.
+    points are not as many as its header says is cut off, which is an error; with ``strict`` off text files give the
+    points that there are.
 
     Every range of ``RECORDS`` records is a task; formats without fixed records are one task a file.
     """
@@ -263,7 +264,7 @@ def read_binary(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
             for path, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lay, kind = layout(path)
                 xyz = _records(path, lay, first, n) if kind == "ranges" else _whole(path, lay, kind)
-                if len(xyz) != n:
+                if len(xyz) != n and (strict or kind != "ascii"):
                     raise PointFormatError(f"{path}: the header says {n} points, there are {len(xyz)}")
                 for k in range(0, len(xyz), 65536):
                     part = xyz[k : k + 65536]
@@ -276,7 +277,7 @@ def read_binary(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     return every.where(ok), every.where(~ok).groupBy("file").agg(F.count("*").alias("n"))
 
 
-def read_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_points(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(points, skipped) of one file, by its extension in any case."""
     ext = re.sub(r".*\.", "", path).lower() if "." in path.rsplit("/", 1)[-1] else ""
     if ext in ("xyz", "txt", "csv", "asc"):
@@ -285,12 +286,21 @@ def read_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             raise PointFormatError(f"{path}: no points")
         return points, skipped
     if ext in ("pcd", "ply", "las"):
-        return read_binary(spark, [path])
+        return read_binary(spark, [path], strict)
     if ext == "laz":
         raise PointFormatError(f"{path}: LAZ is not supported; decompress it to LAS first")
     raise PointFormatError(f"{path}: unknown extension {ext!r}; known: xyz, txt, csv, asc, pcd, ply, las")
 
 
+def header_check(spark: SparkSession, path: str, points: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(file, header, found, matches) of a file whose header says how many points it has; no row for formats that do not."""
+    if not re.search(r"\.(pcd|ply|las)$", path, re.I):
+        return spark.createDataFrame([], "file string, header long, found long, matches boolean")
+    header = layout(path)[0].count
+    found = points.agg(F.count("*").alias("a")).crossJoin(skipped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("b"))).select((F.col("a") + F.col("b")).alias("found"))
+    return found.select(F.lit(path).alias("file"), F.lit(header).cast("long").alias("header"), "found", (F.col("found") == header).alias("matches"))
+
+
 def reference_positions(spark: SparkSession, path: str) -> DataFrame:
     """(x, y, z) of reference stems: two or three leading numbers a line, z null if it is not there."""
     t = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' and line not like '#%' and line not like '/%'")

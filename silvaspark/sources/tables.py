@@ -20,10 +20,11 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transform(spark: SparkSession, path: str) -> DataFrame:
-    """(file, r00..r22, t0..t2): the upper three rows of a 4x4 matrix given by 16 numbers."""
+    """(file, r00..r22, t0..t2): the upper three rows of a 4x4 matrix given by 16 numbers; fewer are an error."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", r"[\s,;]+"), lambda x: x != "").alias("w"))
     n = F.transform("w", lambda x: x.try_cast("double"))
-    t = t.where(F.size("w") >= 16).select("file", n.alias("m"))
+    short = F.raise_error(F.concat("file", F.lit(": a transform has 16 numbers, there are "), F.size("w").cast("string")))
+    t = t.select("file", F.when(F.size("w") < 16, short.cast("array<double>")).otherwise(n).alias("m"))
     return t.select("file", *[F.col("m")[4 * i + j].alias(f"r{i}{j}") for i in range(3) for j in range(3)], *[F.col("m")[4 * i + 3].alias(f"t{i}") for i in range(3)])
 
 
@@ -54,10 +55,10 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stage_table(spark: SparkSession, path: str) -> DataFrame:
-    """(stage, points, ms) from the markdown rows ``| stage | points | ms |`` of a run log."""
-    row = r"^\|\s*([^|]+?)\s*\|\s*([0-9]+)\s*\|\s*([0-9.]+)\s*\|"
+    """(stage, points, ms) from the markdown rows ``| stage | points | ms |`` of a run log; ms is null where it is left empty."""
+    row = r"^\|\s*([^|]+?)\s*\|\s*([0-9]+)\s*\|\s*([0-9.]*)\s*\|"
     t = spark.read.text(path).where(F.col("value").rlike(row))
-    return t.select(F.regexp_extract("value", row, 1).alias("stage"), F.regexp_extract("value", row, 2).cast("long").alias("points"), F.regexp_extract("value", row, 3).cast("double").alias("ms"))
+    return t.select(F.regexp_extract("value", row, 1).alias("stage"), F.regexp_extract("value", row, 2).cast("long").alias("points"), F.expr(f"try_cast(regexp_extract(value, r'{row}', 3) as double)").alias("ms"))
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +78,11 @@ def clusters_table(fits: DataFrame, cluster: str = "cluster") -> DataFrame:
     return fits.withColumnRenamed(cluster, "cluster_id").select(*CLUSTER_COLUMNS)
 
 
+def file_label(label: str) -> str:
+    """A label in a file's name: without the stars of matched models."""
+    return label.replace("*", "")
+
+
 def bins_table(bins: DataFrame) -> DataFrame:
     return bins.withColumnRenamed("mean_p", "mean_P").select(*BIN_COLUMNS)
 
