@@ -83,12 +83,14 @@ def domain_of(host: Column, suffix: Column) -> Column:
 def rules_of_hosts(spark: SparkSession, hosts: DataFrame, rules: list[Rule]) -> DataFrame:
     """``hosts`` with the array ``rules`` of struct(path, size, block, name) that fit the host.
 
-    Hosts meet rules by equality: each host comes with all ends of it that begin after a dot."""
+    Hosts meet rules by equality: each host comes with the ends of it that begin after a dot and have no more labels than
+    the longest rule, so hosts of very many labels cost no more than others."""
     if not rules:
         return hosts.withColumn("rules", F.array().cast("array<struct<size:int,path_size:int,block:boolean,path:string,name:string>>"))
     given = spark.createDataFrame([(r.host, r.path, r.verdict == "block") for r in rules], "rule_host string, path string, block boolean")
     parts = F.split("host", "\\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    most = max(r.host.count(".") for r in rules) + 1
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most))), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
     met = hosts.select("host", F.explode(ends).alias("rule_host")).join(given, "rule_host")
     name = F.concat("rule_host", "path")
     one = F.struct(F.length(name).alias("size"), F.length("path").alias("path_size"), "block", "path", name.alias("name"))
