@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -225,11 +226,59 @@ def match_positions(det: np.ndarray, ref: np.ndarray, radius: float) -> list[tup
     return sorted((a, b, float(d[a, b])) for a, b in pairs)
 
 
+def sparse_assignment(edges: list[list[tuple[int, float]]], unmatched: float) -> list[int]:
+    """The column of every row, -1 for none, of least total cost; ``edges[row]`` lists (column, cost), and a row without a
+    column costs ``unmatched``.
+
+    Shortest augmenting paths over the given edges: each row searches from itself with a heap until it comes to a free column,
+    or to a row that had better go without. Memory grows with the edges, and a search goes only as far as costs make it."""
+    row_price, col_price = [0.0] * len(edges), {}
+    owner: dict[int, int] = {}
+    match = [-1] * len(edges)
+    for i in range(len(edges)):
+        dist: dict[int, float] = {}
+        via: dict[int, int] = {}
+        rows, settled = {i: 0.0}, []
+        heap: list[tuple[float, int, int]] = []
+        row, base = i, 0.0
+        while True:
+            left = base - row_price[row]
+            heapq.heappush(heap, (left + unmatched, -1, row))
+            for j, cost in edges[row]:
+                d = left + cost - col_price.get(j, 0.0)
+                if d < dist.get(j, math.inf):
+                    dist[j], via[j] = d, row
+                    heapq.heappush(heap, (d, j, row))
+            while True:
+                base, j, row = heapq.heappop(heap)
+                if j < 0 or (base == dist[j] and via[j] == row and owner.get(j) not in rows):
+                    break
+            if j < 0 or j not in owner:
+                break
+            settled.append(j)
+            row = owner[j]
+            rows[row] = base
+        for r, at in rows.items():
+            row_price[r] += base - at
+        for k in settled:
+            col_price[k] = col_price.get(k, 0.0) - (base - dist[k])
+        # along the path every row takes the column that it was reached by
+        while True:
+            row = row if j < 0 else via[j]
+            held, match[row] = match[row], j
+            if j >= 0:
+                owner[j] = row
+            if row == i:
+                break
+            j = held
+    return match
+
+
 def assign_positions(det: DataFrame, ref: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """(keys, det_id, ref_id, d): optimal assignment per key.
+    """(keys, det_id, ref_id, d): per key the assignment of most pairs within ``radius``, and of least total distance among those.
 
     det(keys, det_id, dx, dy), ref(keys, ref_id, rx, ry). The grid join leaves only pairs within the
-    radius; their connected parts are independent, so each part, a few stems, is solved by itself.
+    radius; their connected parts are independent, so each part, a few stems, is solved by itself, on its pairs alone.
     """
     edges = written(range_join(det, ref, ["dx", "dy"], ["rx", "ry"], radius, keys).select(*keys, "det_id", "ref_id", "d2"), "near")
     ends = edges.withColumns({"__u": F.xxhash64(F.lit("det"), *keys, "det_id"), "__v": F.xxhash64(F.lit("ref"), *keys, "ref_id")})
@@ -238,17 +287,16 @@ def assign_positions(det: DataFrame, ref: DataFrame, radius: float, keys: list[s
     kinds = ", ".join(f"`{k}` {det.schema[k].dataType.simpleString()}" for k in keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = {v: i for i, v in enumerate(sorted(pdf["det_id"].unique()))}
-        b = {v: i for i, v in enumerate(sorted(pdf["ref_id"].unique()))}
-        d = np.full((len(a), len(b)), np.inf)
-        for r in pdf.itertuples(index=False):
-            d[a[r.det_id], b[r.ref_id]] = math.sqrt(r.d2)
-        flip = len(a) > len(b)
-        c = d.T if flip else d
-        penalty = (c.shape[0] + 1) * radius + 1
-        got = hungarian(np.where(np.isfinite(c), c, penalty))
-        ia, ib = list(a), list(b)
-        rows = [(ia[j], ib[i], c[i, j]) if flip else (ia[i], ib[j], c[i, j]) for i, j in enumerate(got) if np.isfinite(c[i, j])]
+        pdf = pdf.sort_values(["det_id", "ref_id"])
+        ids, row = np.unique(pdf["det_id"], return_inverse=True)
+        d = np.sqrt(pdf["d2"].to_numpy())
+        names, col = np.unique(pdf["ref_id"], return_inverse=True)
+        near: list[list[tuple[int, float]]] = [[] for _ in ids]
+        for r, j, x in zip(row.tolist(), col.tolist(), d.tolist(), strict=True):
+            near[r].append((j, x))
+        # to go without a partner costs more than all distances of the part together
+        got = sparse_assignment(near, (len(ids) + 1) * radius + 1)
+        rows = [(ids[r], names[j], dict(near[r])[j]) for r, j in enumerate(got) if j >= 0]
         out = pd.DataFrame(rows, columns=["det_id", "ref_id", "d"])
         for k in keys:
             out[k] = pdf[k].iloc[0]

@@ -133,3 +133,64 @@ def test_experiment_keeps_all_references(spark):
     refs = spark.range(1_000_100).selectExpr("id AS ref_id", "0.0D AS rx", "0.0D AS ry")
     got = {(r.label, r.seed): r["count"] for r in pipeline.per_run(fits, refs).groupBy("label", "seed").count().collect()}
     assert got == {("step", 1): 1_000_100, ("physical", 2): 1_000_100}
+
+
+def test_sparse_assignment_is_the_dense_one():
+    """Random sparse graphs: as many pairs and the same total as the dense solver; and one part of 5,000 by 5,000."""
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        n, m = (int(x) for x in rng.integers(1, 9, 2))
+        c = np.where(rng.random((n, m)) < 0.5, rng.integers(0, 6, (n, m)) / 4, np.inf)
+        got = R.sparse_assignment([[(j, float(c[i, j])) for j in range(m) if np.isfinite(c[i, j])] for i in range(n)], 100.0)
+        pairs = [(i, j) for i, j in enumerate(got) if j >= 0]
+        assert len({j for _, j in pairs}) == len(pairs) and all(np.isfinite(c[i, j]) for i, j in pairs)
+        dense = np.hstack([np.where(np.isfinite(c), c, 1e4), np.full((n, n), 100.0)])
+        want = R.hungarian(dense)
+        assert math.isclose(sum(c[i, j] for i, j in pairs) + 100.0 * (n - len(pairs)), sum(dense[i, j] for i, j in enumerate(want)))
+    # a chain in which every row wants its right neighbour's column, so that one late row moves all others
+    n = 5000
+    edges = [[(i, 1.0 + 1e-4 * i), (i + 1, 0.5)] for i in range(n - 1)] + [[(n - 1, 1.0)]]
+    got = R.sparse_assignment(edges, 1e5)
+    assert sorted(got) == list(range(n))
+
+
+@pytest.mark.parametrize("radius,slope", [(5.0, 0.5), (2.0, 0.1), (1.0, 2.0)])
+def test_slope_filter_by_tiles(spark, radius, slope):
+    rng = np.random.default_rng(9)
+    p = terrain.Params(cell=0.5, slope_radius=radius, max_slope=slope, slope_tol=0.3)
+    cells = [(i, j) for i in range(-14, 14) for j in range(-10, 10) if rng.random() < 0.7]
+    rows = [(i, j, (i + float(rng.random())) * 0.5, (j + float(rng.random())) * 0.5) for i, j in cells]
+    rows = [(i, j, x, y, 0.3 * x + (float(rng.random()) * 2 if rng.random() < 0.1 else 0.0), 3) for i, j, x, y in rows]
+    df = spark.createDataFrame(rows, "ix int, iy int, x double, y double, z double, n long")
+    keep = {(a[0], a[1]) for a in rows if not any(a[:2] != b[:2] and (d := (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) <= radius * radius and a[4] - b[4] > slope * math.sqrt(d) + 0.3 for b in rows)}
+    assert {(r.ix, r.iy) for r in terrain.slope_filter(df, p).collect()} == keep and len(keep) < len(rows)
+
+
+def test_uniforms_of_columns(spark):
+    p = np.concatenate([np.random.default_rng(1).normal(0, 30, (300, 3)), [[0.00005, -0.00005, 0], [1e5, -1e5, 3]]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in p], "x double, y double, z double")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    rows = RT.with_uniform(df, {"u": RT.start(7), "w": RT.start(2**63 + 5)}).collect()
+    x = np.array([[r.x, r.y, r.z] for r in rows])
+    assert np.array_equal([r.u for r in rows], RT.uniforms(7, *x.T)) and np.array_equal([r.w for r in rows], RT.uniforms(2**63 + 5, *x.T))
+    assert {(r.seed, r.u) for r in RT.each_seed(df, [7, 8]).where("x = 1e5").collect()} == {(s, float(RT.uniforms(s, *np.array([[1e5], [-1e5], [3]]))[0])) for s in (7, 8)}
+    assert spark.conf.get("spark.sql.ansi.enabled") == before
+    plan = RT.with_uniform(df, {"u": RT.start(7)}).where("u < 0.5")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clusters_of_runs(spark):
+    """The clusters of every run are those that its points have alone, dense and sparse, in more runs than one mark holds."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(c, 0.06, (60, 3)) for c in ((0, 0, 0), (0.5, 0, 0), (1, 1, 1))] + [rng.uniform(0, 2, (80, 3))])
+    runs = [sorted({int(r) for r in rng.integers(0, 3, 2)} | ({64 + k % 3} if k % 2 else set())) for k in range(len(x))]
+    df = spark.createDataFrame([(k + 5, *map(float, p), r) for k, (p, r) in enumerate(zip(x, runs, strict=True))], "pid long, x double, y double, z double, runs array<int>")
+    got = {}
+    for r in spatial.clusters_of_runs(df, "pid", 0.15, min_points=3).collect():
+        got.setdefault(r.run, set()).add((r.pid, r.cluster))
+    from test_selection import linked
+
+    for run in {r for some in runs for r in some}:
+        own = [k for k, some in enumerate(runs) if run in some]
+        up = [own[i] for i in linked(x[own], 0.15)]
+        assert got.get(run, set()) == {(k + 5, c + 5) for k, c in zip(own, up, strict=True) if up.count(c) >= 3}
