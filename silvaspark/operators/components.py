@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from silvaspark.runtime import written
 
 
+#: Edges that one task may settle (32 MB), for callers that ask for it.
+FEW_EDGES = 2_000_000
+
+
 def _with_minimum(e: DataFrame, low: DataFrame) -> DataFrame:
     """Edges with the minimum of their end ``u``. The join is on the complement of ``u``, so both sides come to it through
     an exchange of its own, and the edges of a star's centre, which all have one key, can be split over tasks at run time."""

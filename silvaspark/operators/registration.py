@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvaspark.functions.retention import mix
-from silvaspark.operators.components import connected_components
+from silvaspark.operators.components import FEW_EDGES, connected_components
 from silvaspark.operators.spatial import range_join
 from silvaspark.runtime import written
 
@@ -238,7 +238,7 @@ def sparse_assignment(edges: list[list[tuple[int, float]]], unmatched: float) ->
     for i in range(len(edges)):
         dist: dict[int, float] = {}
         via: dict[int, int] = {}
-        rows, settled = {i: 0.0}, []
+        rows, settled = {i: 0.0}, set()
         heap: list[tuple[float, int, int]] = []
         row, base = i, 0.0
         while True:
@@ -246,16 +246,16 @@ def sparse_assignment(edges: list[list[tuple[int, float]]], unmatched: float) ->
             heapq.heappush(heap, (left + unmatched, -1, row))
             for j, cost in edges[row]:
                 d = left + cost - col_price.get(j, 0.0)
-                if d < dist.get(j, math.inf):
+                if j not in settled and d < dist.get(j, math.inf):
                     dist[j], via[j] = d, row
                     heapq.heappush(heap, (d, j, row))
             while True:
                 base, j, row = heapq.heappop(heap)
-                if j < 0 or (base == dist[j] and via[j] == row and owner.get(j) not in rows):
+                if j < 0 or (j not in settled and base == dist[j]):
                     break
             if j < 0 or j not in owner:
                 break
-            settled.append(j)
+            settled.add(j)
             row = owner[j]
             rows[row] = base
         for r, at in rows.items():
@@ -282,7 +282,7 @@ def assign_positions(det: DataFrame, ref: DataFrame, radius: float, keys: list[s
     """
     edges = written(range_join(det, ref, ["dx", "dy"], ["rx", "ry"], radius, keys).select(*keys, "det_id", "ref_id", "d2"), "near")
     ends = edges.withColumns({"__u": F.xxhash64(F.lit("det"), *keys, "det_id"), "__v": F.xxhash64(F.lit("ref"), *keys, "ref_id")})
-    part = connected_components(ends, "__u", "__v").select(F.col("node").alias("__u"), F.col("component").alias("__part"))
+    part = connected_components(ends, "__u", "__v", few=FEW_EDGES).select(F.col("node").alias("__u"), F.col("component").alias("__part"))
     edges = ends.join(part, "__u").drop("__u", "__v")
     kinds = ", ".join(f"`{k}` {det.schema[k].dataType.simpleString()}" for k in keys)
 

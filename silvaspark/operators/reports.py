@@ -83,10 +83,9 @@ def pair_sets(runs: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pair_set, mean, sd, low, high, ep_mean, ep_median, no_transform): success per seed over the
     pairs of each set.
 
-    runs(keys, seed, pair, success, e_p) with null e_p where there is no transform; sets(pair_set, pair)
-    is small and fixed (lists of pairs), so it is broadcast.
+    runs(keys, seed, pair, success, e_p) with null e_p where there is no transform; sets(pair_set, pair).
     """
-    j = runs.join(F.broadcast(sets), "pair")
+    j = runs.join(sets, "pair")
     seed = j.groupBy(*keys, "pair_set", "seed").agg(F.count_if("success").alias("won"), F.count_if(F.col("e_p").isNull()).alias("none"))
     a = seed.groupBy(*keys, "pair_set").agg(F.avg("won").alias("mean"), F.stddev_samp("won").alias("sd"), F.min("won").alias("low"), F.max("won").alias("high"), F.avg("none").alias("no_transform"))
     b = j.groupBy(*keys, "pair_set").agg(F.avg(F.when(F.col("success"), F.col("e_p"))).alias("ep_mean"), F.percentile(F.when(F.col("success"), F.col("e_p")), F.lit(0.5)).alias("ep_median"))
@@ -166,8 +165,8 @@ def oracle_positions(trees: DataFrame, truth: DataFrame, key: list[str], vertica
 
 
 def flag_members(pairs: DataFrame, official: DataFrame, key: str = "pair") -> DataFrame:
-    """Add ``official``: whether the pair is in the (small) list."""
-    return pairs.join(F.broadcast(official.select(key).distinct().withColumn("official", F.lit(True))), key, "left").withColumn("official", F.coalesce("official", F.lit(False)))
+    """Add ``official``: whether the pair is in the list."""
+    return pairs.join(official.select(key).distinct().withColumn("official", F.lit(True)), key, "left").withColumn("official", F.coalesce("official", F.lit(False)))
 
 
 def conditional(df: DataFrame, keys: list[str], where: Column, value: str) -> DataFrame:

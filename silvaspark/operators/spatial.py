@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvaspark.operators.components import connected_components
+from silvaspark.operators.components import FEW_EDGES, connected_components
 from silvaspark.runtime import written
 
 
@@ -95,8 +95,6 @@ def normals(points: DataFrame, pid: str, radius: float = 0.10, keys: list[str] |
     return out.select(*(keys or []), pid, "n", "__e.*")
 
 
-#: Edges that one task settles (32 MB).
-FEW_EDGES = 2_000_000
 #: Pairs of cells with at most this many pairs of points are decided by their points, others by cells a quarter as wide.
 FEW = 1024
 

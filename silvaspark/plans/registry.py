@@ -577,13 +577,25 @@ def local_ground_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.local_ground(t, g, "kp", 1.0).withColumns({"ground_z": r6("ground_z"), "height": r6("height")})
 
 
-@query()
+@query(TGT.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT kp.scan, kp.kp AS det, tp AS ref, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS d FROM kp JOIN tg ON kp.scan = tg.scan AND (x - tx) * (x - tx) + (y - ty) * (y - ty) <= 0.25),
+r AS (SELECT DISTINCT scan, det, det AS m FROM e UNION SELECT r.scan, f.det, r.m FROM r JOIN e USING (scan, det) JOIN e f ON f.scan = e.scan AND f.ref = e.ref),
+o AS (SELECT *, row_number() OVER (PARTITION BY scan, part ORDER BY det) AS k, count(*) OVER (PARTITION BY scan, part) AS size FROM (SELECT scan, det, min(m) AS part FROM r GROUP BY scan, det)),
+c AS (SELECT scan, det, ref, d FROM e UNION ALL SELECT DISTINCT scan, det, NULL, NULL FROM e),
+st AS (SELECT DISTINCT scan, part, size, 0::BIGINT AS k, []::BIGINT[] AS used, 0 AS n, 0.0::DOUBLE AS total, 0.0::DOUBLE AS sq FROM o
+  UNION ALL SELECT st.scan, st.part, st.size, st.k + 1, CASE WHEN c.ref IS NULL THEN used ELSE list_append(used, c.ref) END, n + (c.ref IS NOT NULL)::INT, total + coalesce(d, 0), sq + coalesce(d * d, 0)
+  FROM st JOIN o ON o.scan = st.scan AND o.part = st.part AND o.k = st.k + 1 JOIN c ON c.scan = o.scan AND c.det = o.det AND (c.ref IS NULL OR NOT list_contains(used, c.ref))),
+best AS (SELECT * FROM st WHERE k = size QUALIFY row_number() OVER (PARTITION BY scan, part ORDER BY n DESC, total) = 1),
+m AS (SELECT scan, sum(n)::BIGINT AS n_match, sum(total) AS total, sum(sq) AS sq FROM best GROUP BY scan),
+a AS (SELECT scan, count(*) AS n_det FROM kp GROUP BY scan), b AS (SELECT scan, count(*) AS n_ref FROM tg GROUP BY scan)
+SELECT scan, n_det, n_ref, n_match, round(n_match / n_ref, 8) AS recall, round(n_match / n_det, 8) AS precision, round(total / n_match, 8) AS mean_error, round(sqrt(sq / n_match), 8) AS rmse FROM a JOIN b USING (scan) JOIN m USING (scan)""")
 def assignment_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of the best assignment; the SQL tries all assignments of each connected part."""
     s, t = _sides(spark, sf_dir)
     det = s.select("scan", F.col("sp").alias("det_id"), F.col("sx").alias("dx"), F.col("sy").alias("dy"))
     ref = t.select("scan", F.col("tp").alias("ref_id"), F.col("tx").alias("rx"), F.col("ty").alias("ry"))
     m = R.assign_positions(det, ref, 0.5, ["scan"])
-    return R.assignment_scores(det, ref, m, ["scan"])
+    a = R.assignment_scores(det, ref, m, ["scan"])
+    return a.select("scan", "n_det", "n_ref", "n_match", *[r6(c, 8).alias(c) for c in ("recall", "precision", "mean_error", "rmse")])
 
 
 PAIRED = TGT + """, m AS (SELECT tg.scan, x AS sx, y AS sy, z AS sz, tx, ty, tz FROM kp JOIN tg ON kp = tp)"""
