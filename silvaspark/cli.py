@@ -84,15 +84,14 @@ def compare(spark: SparkSession, a, cfg: Config) -> None:
 
 def register(spark: SparkSession, a, cfg: Config) -> None:
     jobs = tables.read_jobs(spark, a.batch).collect() if a.batch else [argparse.Namespace(src_trees=a.src_trees, tgt_trees=a.tgt_trees, cloud=a.src_cloud, gt=a.gt, out=a.out, label=a.label)]
-    # jobs of one source cloud share its scan
+    # jobs of one source cloud share its scan; the small files of all its jobs are one scan each for trees and transforms
     for cloud in sorted({j.cloud for j in jobs}):
-        src = tgt = gt = None
-        for k, j in enumerate(x for x in jobs if x.cloud == cloud):
-            name = F.lit(j.label or str(k)).alias("job")
-            # numbered where they are written, so that a second reading gives the same numbers
-            kp = lambda path: written(tables.read_trees(spark, path).select(name, F.monotonically_increasing_id().alias("kp"), "x", "y", "z"), "trees")  # noqa: B023, E731
-            part = kp(j.src_trees), kp(j.tgt_trees), tables.read_transform(spark, j.gt).drop("file").select(name, "*")
-            src, tgt, gt = part if src is None else (src.unionAll(part[0]), tgt.unionAll(part[1]), gt.unionAll(part[2]))
+        own = [x for x in jobs if x.cloud == cloud]
+        at = {p: tables.qualified(spark, p) for j in own for p in (j.src_trees, j.tgt_trees, j.gt)}
+        names = spark.createDataFrame([(j.label or str(k), at[j.src_trees], at[j.tgt_trees], at[j.gt]) for k, j in enumerate(own)], "job string, src string, tgt string, gt string")
+        trees = written(tables.read_trees_of(spark, [p for j in own for p in (j.src_trees, j.tgt_trees)]), "trees")
+        src, tgt = (names.select("job", F.col(side).alias("file")).join(trees, "file").drop("file") for side in ("src", "tgt"))
+        gt = names.select("job", F.col("gt").alias("file")).join(tables.read_transform(spark, sorted({j.gt for j in own})), "file").drop("file")
         points, _ = S.read_points(spark, cloud)
         rows = pipeline.register(src, tgt, gt, points, tuple(float(t) for t in a.thresholds.split(",")), a.merge_radius, a.gt_match, Params(n=a.N, w=a.w, th_score=a.th_score, min_dc=a.min_dc), None, a.ransac_iters, a.ransac_inlier, a.ransac_seed)
         _save(rows.withColumnRenamed("job", "label"), a.out, os.path.basename(cloud) + ".registration")

@@ -394,7 +394,8 @@ def cn_descriptor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     kps = V.keypoints(spark, sf_dir)
     t = V.target(kps).select(F.col("tp").alias("kp"), "scan", F.col("tx").alias("x"), F.col("ty").alias("y"))
-    return K.descriptors(kps, CN), K.descriptors(t, CN)
+    # written, since gates and agreements both ask for them
+    return written(K.descriptors(kps, CN), "descriptors"), written(K.descriptors(t, CN), "descriptors")
 
 
 def _again(sql: str) -> str:

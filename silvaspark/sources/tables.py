@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TREE_COLUMNS = ["cluster_id", "x", "y", "z", "radius", "tilt_deg", "n_points", "n_inliers"]
@@ -19,9 +21,31 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     return t.select(*[F.expr(f"try_cast({c} as double)").alias(c) for c in "xyz"]).where("x is not null and y is not null and z is not null")
 
 
-def read_transform(spark: SparkSession, path: str) -> DataFrame:
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as readers here name it in ``file``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:/", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString())
+
+
+def _file() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("file")
+
+
+def read_trees_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, kp, x, y, z) of many trees files in one scan; ``kp`` is the line, columns go by each file's own header."""
+    t = spark.read.text(sorted(set(paths)), wholetext=True).select(_file(), F.split(F.rtrim(F.regexp_replace("value", "\r", ""), F.lit("\n")), "\n").alias("lines"))
+    names = F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    t = t.select("file", names.alias("names"), F.posexplode("lines").alias("kp", "line")).where("kp > 0 and trim(line) <> ''")
+    cell = lambda c: F.get(F.split("line", ","), (F.array_position("names", c) - 1).cast("int")).try_cast("double")
+    missing = F.raise_error(F.concat("file", F.lit(": columns x, y, z are missing")))
+    known = F.array_contains("names", "x") & F.array_contains("names", "y") & F.array_contains("names", "z")
+    at = [F.when(known, cell(c)).otherwise(missing.cast("double")).alias(c) for c in "xyz"]
+    return t.select("file", F.col("kp").cast("long").alias("kp"), *at).where("x is not null and y is not null and z is not null")
+
+
+def read_transform(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, r00..r22, t0..t2): the upper three rows of a 4x4 matrix given by 16 numbers; fewer are an error."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", r"[\s,;]+"), lambda x: x != "").alias("w"))
+    t = spark.read.text(path, wholetext=True).select(_file(), F.filter(F.split("value", r"[\s,;]+"), lambda x: x != "").alias("w"))
     n = F.transform("w", lambda x: x.try_cast("double"))
     short = F.raise_error(F.concat("file", F.lit(": a transform has 16 numbers, there are "), F.size("w").cast("string")))
     t = t.select("file", F.when(F.size("w") < 16, short.cast("array<double>")).otherwise(n).alias("m"))

@@ -88,6 +88,19 @@ def test_small_tables(spark, tmp_path):
     assert tables.file_label("linear*") == "linear"
 
 
+def test_tree_files_of_a_batch(spark, tmp_path):
+    """Files of different headers, line ends and odd names in one scan; a file without coordinates is an error."""
+    (tmp_path / "a b").mkdir()
+    one, two, bad = str(tmp_path / "a b" / "one.csv"), str(tmp_path / "two.csv"), str(tmp_path / "bad.csv")
+    for path, text in ((one, "x,y,z\n1.0,2.0,3.0\n4,5,6\n"), (two, 'id,"z",y,x\r\n9,3.0,2.0,1.0\r\n\r\n8,,1,1\r\n'), (bad, "x,y\n1,2\n")):
+        with open(path, "w", newline="") as f:
+            f.write(text)
+    rows = tables.read_trees_of(spark, [one, two, one]).collect()
+    assert {(r.file, r.kp, r.x, r.y, r.z) for r in rows} == {(tables.qualified(spark, one), 1, 1.0, 2.0, 3.0), (tables.qualified(spark, "file://" + one), 2, 4.0, 5.0, 6.0), (tables.qualified(spark, two), 1, 1.0, 2.0, 3.0)}
+    with pytest.raises(Exception, match="are missing"):
+        tables.read_trees_of(spark, [bad]).collect()
+
+
 def test_header_check(spark, tmp_path):
     f = tmp_path / "a.ply"
     f.write_text("ply\nformat ascii 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\nnan 2 3\n4 5 6\n")

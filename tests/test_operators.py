@@ -126,6 +126,17 @@ def test_axis_meets_terrain():
     assert stems.axis_meets_terrain(np.zeros(3), np.array([0, 0, 1.0]), lambda x, y: None) is None
 
 
+def test_heights_of_many_places():
+    rng = np.random.default_rng(11)
+    rows = [(i, j, *map(float, rng.normal(size=3))) for i in range(-4, 5) for j in range(-3, 6) if rng.random() < 0.7]
+    h = stems.Planes(rows, 0.5)
+    x, y = rng.uniform(-3, 3.5, 500), rng.uniform(-2.5, 4, 500)
+    want = [h.height(a, b) for a, b in zip(x, y, strict=True)]
+    got = h.heights(x, y)
+    assert [None if np.isnan(g) else round(float(g), 9) for g in got] == [None if w is None else round(w, 9) for w in want] and None in want
+    assert np.isnan(stems.Planes((), 0.5).heights(x, y)).all()
+
+
 def test_experiment_keeps_all_references(spark):
     from silvaspark.plans import pipeline
 
