@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvaspark.operators.selection import percentiles
+from silvaspark.runtime import written
 
 
 def finite(c: Column) -> Column:
@@ -73,7 +74,7 @@ def pair_distances(matched: DataFrame, keys: list[str]) -> DataFrame:
 def spread(values: DataFrame, keys: list[str], value: str, limits: tuple[float, ...] = (0.05, 0.1, 0.2)) -> DataFrame:
     """(keys, n, median, p90, share_k): lower-index percentiles and shares below each limit. Percentiles of all groups
     are found by narrowing histograms, so that no group is sorted in one task."""
-    v = values.select(*keys, F.col(value).cast("double").alias("v"))
+    v = written(values.select(*keys, F.col(value).cast("double").alias("v")), "spread")
     shares = v.groupBy(*keys).agg(*[F.avg((F.col("v") < x).cast("double")).alias(f"share_{k}") for k, x in enumerate(limits)])
     p = percentiles(v, keys, "v", {"median": 0.5, "p90": 0.9})
     return p.join(shares, keys) if keys else p.crossJoin(shares)
@@ -139,6 +140,7 @@ def consistency(matched: DataFrame, keys: list[str]) -> DataFrame:
 
     ``n`` counts all rows; medians and the percentile lie between two elements and are those of the rows with a value."""
     dz = F.abs("dz")
+    matched = written(matched.select(*keys, "dxy", "dz"), "matched")
     shares = matched.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((dz > 0.5).cast("double")).alias("share_half"), F.avg((dz > 1.0).cast("double")).alias("share_one"))
     xy = percentiles(matched, keys, "dxy", {"median_dxy": 0.5}, between=True).drop("n")
     z = percentiles(matched.withColumn("dz", dz), keys, "dz", {"median_dz": 0.5, "p90_dz": 0.9}, between=True).drop("n")

@@ -76,7 +76,8 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str,
     """(keys, n, <name> ...): the element at ``share * (n - 1)`` of every group, rounded down, or with ``between`` the
     value between the two elements around it. ``n`` counts the rows with a value."""
     v = F.col(value).cast("double")
-    rows = rows.select(*keys, v.alias("v")).where("v is not null and not isnan(v)")
+    # written, since every pass reads the values again
+    rows = written(rows.select(*keys, v.alias("v")).where("v is not null and not isnan(v)"), "values")
     sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
     place = {k: F.lit(float(q)) * (F.col("n") - 1) for k, q in shares.items()}
     low = {k: F.floor(p) for k, p in place.items()}
