@@ -660,6 +660,15 @@ def kabsch_ransac_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rigid(R.estimate(p, ["scan"], ransac=True, iterations=200), p)
 
 
+@query(f"{TGT} SELECT tg.scan, count(*) AS n_pairs, count(*) FILTER (tp % 6 <> 1) AS n_inliers, true AS orthogonal, true AS proper FROM kp JOIN tg ON kp = tp GROUP BY tg.scan")
+def kabsch_ransac_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sixth of all pairs lies metres apart; all others are inliers, and no one else is."""
+    s, t = _sides(spark, sf_dir)
+    off = F.when(F.col("tp") % 6 == 1, 5 + F.col("tp") % 4).otherwise(0)
+    p = s.withColumnRenamed("sp", "tp").join(t, ["scan", "tp"]).select("scan", "sx", "sy", "sz", (F.col("tx") + off).alias("tx"), "ty", "tz")
+    return _rigid(R.estimate(p, ["scan"], ransac=True, iterations=200), p).drop("closer")
+
+
 _IDENT = {"r00": 1.0, "r11": 1.0, "r22": 1.0}
 _JOBS = [(0, 0.01, 0.1), (1, 0.02, -0.2), (2, 0.05, 0.6)]
 
