@@ -121,3 +121,24 @@ def test_descriptors_are_compared_by_blocks(spark, monkeypatch):
     for r in a.collect():
         mine[r.scan] = tuple(x + y for x, y in zip(mine.get(r.scan, (0, 0, 0)), (r.n, r.enc2_first, r.enc3_first), strict=True))
     assert mine == told
+
+
+def test_point_errors_meet_in_blocks(spark, monkeypatch):
+    """Every job's mean equals brute force, points without a coordinate are counted only; no row for each point and job."""
+    from silvaspark.operators import registration as R
+
+    monkeypatch.setattr(R, "POINTS", 7)
+    monkeypatch.setattr(R, "TRANSFORMS", 2)
+    rnd = random.Random(6)
+    pts = [tuple(rnd.uniform(-9, 9) for _ in "xyz") for _ in range(40)]
+    cols = [*R.R_COLS, *R.T_COLS]
+    jobs = [(f"job {k}", k % 3, *[rnd.uniform(-1, 1) for _ in range(24)]) for k in range(9)]
+    t = spark.createDataFrame(jobs, "job string, kind int, " + ", ".join(f"{c} double" for c in [*cols, *[f"g{c}" for c in cols]]))
+    got = R.point_errors(spark.createDataFrame([*pts, (1.0, None, 2.0)], "x double, y double, z double"), t, ["job", "kind"])
+    assert plan(got).count("MapInArrow") == 2
+    got = {(r.job, r.kind): (r.e_p, r.n) for r in got.collect()}
+    assert len(got) == len(jobs)
+    for name, kind, *v in jobs:
+        e = [a - b for a, b in zip(v[:12], v[12:], strict=True)]
+        want = sum(math.hypot(*[e[9 + i] + sum(e[3 * i + k] * p[k] for k in range(3)) for i in range(3)]) for p in pts) / len(pts)
+        assert abs(got[name, kind][0] - want) < 1e-12 and got[name, kind][1] == 41
