@@ -4,6 +4,7 @@ tables, further columns with clashing names; and brute force where SQL says noth
 import hashlib
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -241,6 +242,65 @@ def test_line_groups_against_all_pairs(spark):
     assert all(head.setdefault(of[i], want.root(i)) == want.root(i) for i in range(len(lines)))
 
 
+def test_lines_of_large_buckets_meet_in_groups_that_agree():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (3, line_dedup.WORDS), np.uint64)
+    # lines of three groups that differ from the next one of their group in a few bins, and lines that are alone
+    check = []
+    for k in range(3):
+        row = base[k].copy()
+        for _ in range(20):
+            row = row ^ (np.uint64(15) << np.uint64(4 * int(rng.integers(16))))
+            check.append(row)
+    check = np.array([*check, *rng.integers(0, 1 << 63, (60, line_dedup.WORDS), np.uint64)])[rng.permutation(120)]
+    u = groups.Union(len(check))
+    for i in range(len(check)):
+        for j in np.flatnonzero(line_dedup.agree(check, check[i])):
+            u.join(i, int(j))
+    want = {}
+    for k in range(len(check)):
+        want.setdefault(u.root(k), []).append(k)
+    got = line_dedup.agreeing_groups(check)
+    assert sorted(g.tolist() for g in got) == sorted(g for g in want.values() if len(g) > 1) and any(len(g) >= 20 for g in got)
+
+
+def test_line_candidates_keep_only_lines_that_agree(spark, monkeypatch):
+    # lines that share the beginning fill large buckets, but few of them agree with another one
+    rng = random.Random(8)
+    start = sentence(rng, 9)
+    lines = [f"{start} {sentence(rng, 45)}" for _ in range(6000)]
+    lines += [x + " more" for x in lines[-20:]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    at = line_dedup.line_table(docs, "doc_id", "text")
+    keys = line_dedup.table_keys(line_dedup.minhashes(lines), line_dedup.tables_for(len(lines)))[0]
+    size = np.unique(keys, return_counts=True)[1]
+    large = int(size[size > line_dedup.NEAR].sum())
+    found = line_dedup.candidates(at, len(lines)).collect()
+    assert large > 1000 and sum(r.kind == line_dedup.MEMBER for r in found) < large / 4
+    group = lambda: {(r.lid, r.group) for r in line_dedup.line_groups(docs, at).collect()}
+    once = group()
+    assert len(once) >= 38
+    # a bucket that is too large to be split is compared whole and gives the same
+    monkeypatch.setattr(line_dedup, "SPLIT", line_dedup.NEAR)
+    monkeypatch.setattr(line_dedup, "LEADERS", 2)
+    assert group() == once
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark, docs):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {every.apply(k).getName() for k in range(every.size())}
+
+    had, before = files(), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    line_dedup.mark_lines(docs)
+    end = time.time() + 20
+    while (left := {x for x in files() - had if x.startswith("shuffle")}) and time.time() < end:
+        time.sleep(0.5)
+    assert not left and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_mixed_buckets_lose_no_link():
     # line 1 is like line 2 alone, which stands in another class
     rng = random.Random(5)
