@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd, so that it can be divided by modulo 2**64.
@@ -41,6 +43,19 @@ def claim(owner: str, clear=None) -> None:
             drop()
         _owner[0] = owner
         gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the system, as far as its allocators can tell; else a worker stays as large
+    as the largest task that it ran."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silvaspark.llm import decontamination, groups, hamming_search, jaccard_join, language_id, line_dedup, sharding, substring_dedup, suffix_automaton, toxicity, warc
+from silvaspark.llm import decontamination, groups, hamming_search, jaccard_join, language_id, line_dedup, sharding, substring_dedup, suffix_automaton, toxicity, warc, words
 from silvaspark.llm import sentencepiece_fst as spm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, node long, component long, score double, line string"
@@ -286,6 +286,20 @@ def test_line_candidates_keep_only_lines_that_agree(spark, monkeypatch):
     assert group() == once
 
 
+def test_a_claim_gives_memory_back():
+    def mb():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    words.claim("one")
+    held = [bytearray(2000) for _ in range(100_000)]
+    full = mb()
+    # the last one keeps what lies before it from going by itself
+    del held[:-1]
+    words.claim("another")
+    assert full - mb() > 100
+
+
 def test_line_dedup_leaves_no_shuffle_files(spark, docs):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
@@ -320,6 +334,14 @@ def test_mixed_buckets_lose_no_link():
     assert out == [(2, 3)]
 
 
+def test_common_subsequences_of_many_lines_at_once():
+    rng = random.Random(4)
+    lines = ["", "a", "ab" * 4, *("".join(rng.choice("abc dé\u4e00") for _ in range(rng.randrange(1, 90))) for _ in range(60))]
+    places = [line_dedup.letter_places(x) for x in lines]
+    for b in lines[1:20]:
+        assert line_dedup.common_subsequences(places, b).tolist() == [line_dedup.common_subsequence(x, b) for x in lines]
+
+
 def test_bounds_of_the_edit_distance():
     rng = random.Random(6)
     for _ in range(300):
