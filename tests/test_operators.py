@@ -205,3 +205,17 @@ def test_clusters_of_runs(spark):
         own = [k for k, some in enumerate(runs) if run in some]
         up = [own[i] for i in linked(x[own], 0.15)]
         assert got.get(run, set()) == {(k + 5, c + 5) for k, c in zip(own, up, strict=True) if up.count(c) >= 3}
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from silvaspark.operators import components
+
+    steps = []
+    monkeypatch.setattr(components, "written", lambda df, name: steps.append(name) or df.localCheckpoint())
+    stars = spark.createDataFrame([(2, 1), (3, 1), (9, 5), (7, 5)], "u long, v long")
+    found = {tuple(r) for r in components.connected_components(stars).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 5), (9, 5)} and len(steps) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 40), (40, 35)], "u long, v long")
+    found = {tuple(r) for r in components.connected_components(chain).collect()}
+    assert found == {(k, 0) for k in range(21)} | {(30, 30), (35, 30), (40, 30)}
+    assert components.connected_components(stars.limit(0)).count() == 0
