@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ class WordHashes(dict):
 
 _hashes = WordHashes()
 
+#: Options of the C library's ``mallopt``, and bytes of a block that is large.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, LARGE = -1, -3, 1 << 20
+
 _owner = [""]
 _kept = {"": _hashes.clear}
 
@@ -38,6 +42,7 @@ def claim(owner: str, clear=None) -> None:
     of them keep by module is dropped, so that it does not add up; ``clear`` drops what ``owner`` will keep."""
     if clear is not None:
         _kept[owner] = clear
+    sparing()
     if _owner[0] != owner:
         for drop in _kept.values():
             drop()
@@ -46,6 +51,19 @@ def claim(owner: str, clear=None) -> None:
         give_back()
 
 
+@cache
+def sparing() -> None:
+    """From now on large blocks of this process go back to the system as soon as they are freed: the C library raises the
+    size from which they do with each of them that is freed, and Arrow's own allocator keeps what it had."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        for option in (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD):
+            libc.mallopt(option, LARGE)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def give_back() -> None:
     """What this process has freed goes back to the system, as far as its allocators can tell; else a worker stays as large
     as the largest task that it ran."""

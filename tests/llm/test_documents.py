@@ -739,3 +739,24 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert [{r.doc_id: r.n_ids for r in out}[k] for k in (50, 51)] == [0, 0]
     assert all(r.round_trip for r in out if r.n_ids is not None)
     assert hashlib.sha256(b"").hexdigest() == {r.doc_id: r.ids_sha256 for r in out}[61]
+
+
+def test_workers_give_large_blocks_back_at_once():
+    import ctypes
+
+    import psutil
+    import pyarrow as pa
+
+    words.claim("test")
+    assert pa.default_memory_pool().backend_name == "system"
+    libc = ctypes.CDLL("libc.so.6")
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    size, rss = 24 << 20, lambda: psutil.Process().memory_info().rss
+    libc.free(libc.malloc(size))  # else the next block of this size is not mapped on its own
+    before = rss()
+    block, small = libc.malloc(size), None
+    ctypes.memset(block, 1, size)
+    small = libc.malloc(1000)
+    libc.free(block)
+    assert rss() - before < size // 4
+    libc.free(small)
