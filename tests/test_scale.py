@@ -142,3 +142,15 @@ def test_point_errors_meet_in_blocks(spark, monkeypatch):
         e = [a - b for a, b in zip(v[:12], v[12:], strict=True)]
         want = sum(math.hypot(*[e[9 + i] + sum(e[3 * i + k] * p[k] for k in range(3)) for i in range(3)]) for p in pts) / len(pts)
         assert abs(got[name, kind][0] - want) < 1e-12 and got[name, kind][1] == 41
+
+
+def test_assignment_keeps_the_types_of_its_keys(spark):
+    """Keys of an experiment's runs, a label and a seed, which is no long."""
+    from silvaspark.operators import registration as R
+
+    det = spark.createDataFrame([("a", 1, 7, 0.0, 0.0), ("a", 2, 8, 0.0, 0.1), ("a", 2, 9, 0.0, 0.3)], "label string, seed int, det_id long, dx double, dy double")
+    ref = spark.createDataFrame([("a", s, k, 0.0, 0.2 * k) for s in (1, 2) for k in (0, 1)], "label string, seed int, ref_id long, rx double, ry double")
+    m = R.assign_positions(det, ref, 0.15, ["label", "seed"])
+    assert [t for _, t in m.dtypes[:2]] == ["string", "int"]
+    assert sorted((r.label, r.seed, r.det_id, r.ref_id) for r in m.collect()) == [("a", 1, 7, 0), ("a", 2, 8, 0), ("a", 2, 9, 1)]
+    assert {r.seed: r.n_match for r in R.assignment_scores(det, ref, m, ["label", "seed"]).collect()} == {1: 1, 2: 2}
