@@ -29,6 +29,24 @@ def test_local_ground_counts_coinciding_points_and_copies_trees(spark):
     assert got == {1: (9, 1.0, True), 2: (5, 0.5, False)}
 
 
+def test_local_ground_counts_pairs_by_height(spark):
+    """Percentiles equal numpy's, heights that are unknown count as points only; pairs do not go into a percentile's own buffers."""
+    import numpy as np
+
+    rnd = random.Random(8)
+    trees = [(k, rnd.uniform(-3, 3), rnd.uniform(-3, 3), 2.0) for k in range(200)]
+    pts = [(rnd.uniform(-3, 3), rnd.uniform(-3, 3), None if k % 11 == 0 else rnd.randint(0, 9) / 4) for k in range(400)]
+    g = spatial.local_ground(spark.createDataFrame(trees, "kp long, tx double, ty double, tz double"), spark.createDataFrame(pts, "gx double, gy double, gz double"), "kp", 1.0, p=0.3)
+    assert "ObjectHashAggregate" not in plan(g)
+    want = {}
+    for k, x, y, _ in trees:
+        near = [z for u, v, z in pts if (x - u) ** 2 + (y - v) ** 2 <= 1]
+        if len(near) >= 5:
+            want[k] = (len(near), np.quantile([z for z in near if z is not None], 0.3))
+    got = {r.kp: (r.n, r.ground_z) for r in g.collect()}
+    assert len(want) > 150 and got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - q) < 1e-12 for k, (n, q) in want.items())
+
+
 def test_descriptors_by_blocks_equal_brute_force(spark, monkeypatch):
     """Scans of one and of many blocks, keypoints that coincide, ties, neighbours in line; no pair is shuffled."""
     from silvaspark.operators import keypoints as K
