@@ -20,6 +20,15 @@ def test_range_join_sorts_and_sends_only_where_points_can_be(spark):
     assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, *p in a for j, *q in b if math.dist(p, q) <= 0.5)
 
 
+def test_neighbour_counts_shuffle_points_only(spark):
+    """Copies carry no id and counts go through no exchange of their own: two exchanges, one for each side of the join."""
+    rnd = random.Random(2)
+    pts = [(k % 2, k, rnd.uniform(-1, 1), rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for k in range(120)]
+    got = spatial.neighbour_counts(spark.createDataFrame(pts, "scan int, pid long, x double, y double, z double"), "pid", ["x", "y", "z"], 0.5, ["scan"])
+    assert plan(got).count("Exchange hashpartitioning") == 2 and "pid_b" not in plan(got)
+    assert {(r.scan, r.pid): r.n for r in got.collect()} == {(s, k): sum(s == t and math.dist(p, q) <= 0.5 for t, _, *q in pts) for s, k, *p in pts}
+
+
 def test_local_ground_counts_coinciding_points_and_copies_trees(spark):
     trees = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 3.0, 0.0, 1.2)], "kp long, tx double, ty double, tz double")
     pts = [(0.5, 0.5, 1.0)] * 7 + [(-0.9, 0.1, 3.0)] * 2 + [(3.0, 0.9, 0.5)] * 4 + [(3.2, 0.0, 0.9)]
