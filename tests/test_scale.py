@@ -26,6 +26,9 @@ def test_neighbour_counts_shuffle_points_only(spark):
     pts = [(k % 2, k, rnd.uniform(-1, 1), rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for k in range(120)]
     got = spatial.neighbour_counts(spark.createDataFrame(pts, "scan int, pid long, x double, y double, z double"), "pid", ["x", "y", "z"], 0.5, ["scan"])
     assert plan(got).count("Exchange hashpartitioning") == 2 and "pid_b" not in plan(got)
+    a, b = (spark.createDataFrame(pts, "scan int, " + ", ".join(f"{x}{c} double" if c != "pid" else f"{x}id long" for c in ("pid", "x", "y", "z"))) for x in "ab")
+    of = lambda wide: sorted((r.aid, r.bid) for r in spatial.range_join(a, b, ["ax", "ay", "az"], ["bx", "by", "bz"], 0.25, ["scan"], wide=wide).collect())
+    assert of(1) == of(2) == of(3) and len(of(2)) > 120
     assert {(r.scan, r.pid): r.n for r in got.collect()} == {(s, k): sum(s == t and math.dist(p, q) <= 0.5 for t, _, *q in pts) for s, k, *p in pts}
 
 
